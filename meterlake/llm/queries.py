@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fold
+
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -20,6 +22,18 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    docs = documents(spark, sf_dir)
+    held_out = fold(F.col("doc_id"), 4) == 2
+    found = identify(docs, docs.filter(~held_out), into="_language")
+    return found.select(
+        "doc_id", held_out.alias("held_out"), F.col("_language.lang").alias("lang_pred"), F.col("_language.score").alias("score"),
+        F.col("_language.bits_per_byte").alias("bits_per_byte"),
+    )
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import Capacity, pack_documents
 
@@ -39,6 +53,27 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxic_score, train
+
+    docs = documents(spark, sf_dir)
+    held_out = fold(F.col("doc_id"), 5) == 0
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    weights = train(docs, labels, keep=~held_out)
+    scored = docs.select("doc_id", held_out.alias("held_out"), toxic_score(spark, weights, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import secret_spans
+
+    found = documents(spark, sf_dir).select("doc_id", secret_spans(F.col("text")).alias("_found"))
+    return found.select(
+        "doc_id", *(F.col(f"_found.{c}").alias(c) for c in ("n_assign", "n_access", "n_hex")),
+        F.sha2(F.col("_found.base"), 256).alias("base_sha256"), F.col("_found.spans").alias("spans"),
+    )
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import text_media
 
@@ -56,8 +91,15 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    rows = near_duplicates(documents(spark, sf_dir))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_packing, op5_sharding, op9_media)}
+    return {f.__name__: f for f in (op1_language, op3_packing, op5_sharding, op7_toxicity, op8_secrets, op9_media, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
