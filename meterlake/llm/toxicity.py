@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier over character n-grams, scaled by naive Bayes log-count ratios.
 
-A text's features are the hashed n-grams (3 to 5 bytes of the lower-cased text) it contains. Each feature is
+A text's features are the hashed n-grams (4 and 5 bytes of the lower-cased text) it contains. Each feature is
 scaled by the log ratio of its smoothed shares among toxic and other training texts, and a logistic
 regression is fitted on the scaled features. Training takes a bounded sample of labelled rows and runs in
 one task; only the weights, 2**bits floats, reach the driver.
@@ -26,7 +26,7 @@ from .common import text_slices, unit_hash
 
 @dataclass(frozen=True)
 class Features:
-    shortest: int = 3
+    shortest: int = 4
     longest: int = 5
     bits: int = 18
 
@@ -77,7 +77,7 @@ def fit(texts: list[bytes], labels: np.ndarray, prior: float, features: Features
 
 def train(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    keep: Column | None = None, max_rows: int = 4000, features: Features = Features(),
+    keep: Column | None = None, max_rows: int = 2000, features: Features = Features(),
 ) -> np.ndarray:
     """Weights learned from about ``max_rows`` rows of each class at most, chosen by a hash of the id.
 
