@@ -43,6 +43,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import find_leaks
+
+    found = find_leaks(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), into="_m")
+    each = found.select("doc_id", F.explode("_m").alias("_m"))
+    return each.select("doc_id", *(F.col(f"_m.{c}").alias(c) for c in ("item_id", "start_word", "end_word", "bits", "similarity")))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_by_bytes
 
@@ -99,7 +107,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op3_packing, op5_sharding, op7_toxicity, op8_secrets, op9_media, op10_simhash)}
+    return {f.__name__: f for f in (op1_language, op3_packing, op4_decontamination, op5_sharding, op7_toxicity, op8_secrets, op9_media, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
