@@ -34,6 +34,12 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import similar_lines
+
+    return similar_lines(documents(spark, sf_dir)).select("doc_id", "line_no", "class_id", "n_links", "removed")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import Capacity, pack_documents
 
@@ -107,7 +113,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op3_packing, op4_decontamination, op5_sharding, op7_toxicity, op8_secrets, op9_media, op10_simhash)}
+    return {f.__name__: f for f in (op1_language, op2_line_dedup, op3_packing, op4_decontamination, op5_sharding, op7_toxicity, op8_secrets, op9_media, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
