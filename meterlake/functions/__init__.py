@@ -1 +1 @@
-
+"""Column functions: time, commands, identity, costs, display."""

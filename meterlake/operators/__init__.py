@@ -1 +1 @@
-
+"""Operators of the ledger: DataFrames and parameters in, a DataFrame out."""

@@ -1 +1 @@
-
+"""Where usage comes from: agents' log files and databases."""
