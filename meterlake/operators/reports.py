@@ -14,12 +14,17 @@ def since(events: DataFrame, first_day: str | None) -> DataFrame:
     return events if first_day is None else events.filter(F.col("ts") >= first_day)
 
 
+def cost_sum() -> Column:
+    """Dollars, added up as decimals: the same in whatever order. Null if no event has a cost."""
+    return F.sum(F.col("cost_usd").cast("decimal(28,12)")).cast("double")
+
+
 def _sums() -> list[Column]:
     return [
         F.count("*").alias("events"),
         *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens")),
         F.coalesce(F.sum(total_tokens()), F.lit(0)).alias("total_tokens"),
-        F.sum("cost_usd").alias("cost_usd"), F.count_if(F.col("cost_usd").isNull()).alias("unpriced_events"),
+        cost_sum().alias("cost_usd"), F.count_if(F.col("cost_usd").isNull()).alias("unpriced_events"),
     ]
 
 
@@ -48,7 +53,7 @@ def sessions(events: DataFrame, savings: DataFrame) -> DataFrame:
 
 def totals(events: DataFrame) -> DataFrame:
     return events.agg(
-        F.count("*").alias("events"), F.coalesce(F.sum(total_tokens()), F.lit(0)).alias("total_tokens"), F.sum("cost_usd").alias("cost_usd"),
+        F.count("*").alias("events"), F.coalesce(F.sum(total_tokens()), F.lit(0)).alias("total_tokens"), cost_sum().alias("cost_usd"),
         F.count_if(F.col("cost_usd").isNull()).alias("unpriced_events"), F.count_distinct("session_id").alias("sessions"),
         F.min(day(F.col("ts"))).alias("first_day"),
     )

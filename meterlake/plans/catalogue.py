@@ -41,13 +41,13 @@ def _query(name: str, sql: str | None = None, prefix: str = PREFIX) -> Callable[
 
 
 def _micro(df: DataFrame) -> DataFrame:
-    """Dollar sums depend on the order of additions: rounded to 6 digits."""
-    return df.withColumns({c: F.round(c, 6) for c, t in df.dtypes if "cost_usd" in c and t == "double"})
+    """Dollar sums to 9 digits: engines differ in the last bit of a decimal as a double."""
+    return df.withColumns({c: F.round(c, 9) for c, t in df.dtypes if "cost_usd" in c and t == "double"})
 
 
 def _report(key: str, saved: str = "CAST(NULL AS BIGINT)", where: str = "true", join: str = "") -> str:
     return f"""SELECT k AS key, g.* EXCLUDE (k, src), {saved} AS saved_tokens FROM (SELECT {key} AS k, min(source) AS src, count(*) AS events,
-      {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in _SUMS[:4])}, CAST(sum({TOTAL_SQL}) AS BIGINT) AS total_tokens, round(sum(cost_usd), 6) AS cost_usd,
+      {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in _SUMS[:4])}, CAST(sum({TOTAL_SQL}) AS BIGINT) AS total_tokens, round(CAST(sum(CAST(cost_usd AS DECIMAL(28, 12))) AS DOUBLE), 9) AS cost_usd,
       count(*) FILTER (cost_usd IS NULL) AS unpriced_events FROM usage WHERE {where} GROUP BY {key}) g {join}"""
 
 
@@ -71,7 +71,7 @@ _query("agg01_daily_since", _report("substr(ts, 1, 10)", where=f"ts >= '{SINCE}'
 _query("agg02_models", _report("model"))(lambda t: _micro(reports.models(t.usage)))
 _query("agg03_projects", _report("project", "saved", join=_BY_PROJECT))(lambda t: _micro(reports.projects(t.usage, t.savings)))
 _query("agg04_sessions", _report("session_id", "saved", join=_BY_SESSION))(lambda t: _micro(reports.sessions(t.usage, t.savings)))
-_TOTALS = f"""count(*) AS events, CAST(coalesce(sum({TOTAL_SQL}), 0) AS BIGINT) AS total_tokens, round(sum(cost_usd), 6) AS cost_usd, count(*) FILTER (cost_usd IS NULL) AS unpriced_events,
+_TOTALS = f"""count(*) AS events, CAST(coalesce(sum({TOTAL_SQL}), 0) AS BIGINT) AS total_tokens, round(CAST(sum(CAST(cost_usd AS DECIMAL(28, 12))) AS DOUBLE), 9) AS cost_usd, count(*) FILTER (cost_usd IS NULL) AS unpriced_events,
   count(DISTINCT session_id) AS sessions, min(substr(ts, 1, 10)) AS first_day"""
 _query("agg05_totals", f"SELECT {_TOTALS} FROM usage")(lambda t: _micro(reports.totals(t.usage)))
 _query("agg05_totals_since", f"SELECT {_TOTALS} FROM usage WHERE ts >= '{SINCE}'")(lambda t: _micro(reports.totals(reports.since(t.usage, SINCE))))
@@ -196,9 +196,9 @@ _query("prj04_records", f"{_RECORD} {_PREF} WHERE NOT coalesce(excluded, false)"
 _query("ord06_preview", f"{_RECORD} {_PREF} ORDER BY id LIMIT 1")(lambda t: sync.preview(t.usage, t.prefs))
 _query("jn11_review", "SELECT name, synced_label, coalesce(excluded, false) AS excluded FROM (SELECT DISTINCT coalesce(project_label, project) AS name FROM usage) LEFT JOIN prefs USING (name)")(lambda t: sync.review(t.usage, t.prefs))
 _query("set02_labels", "SELECT DISTINCT coalesce(project_label, project) AS name FROM usage")(lambda t: sync.labels(t.usage))
-_TOP = "SELECT {k} FROM usage WHERE ts >= '2024-01-01' GROUP BY {k} ORDER BY coalesce(sum(cost_usd), 0) DESC, sum(" + TOTAL_SQL + ") DESC, {k} LIMIT 1"
-_query("agg21_overview", f"""SELECT * FROM (SELECT count(*) AS window_events, CAST(sum({TOTAL_SQL}) AS BIGINT) AS window_total_tokens, round(sum(cost_usd), 6) AS window_cost_usd, count(DISTINCT session_id) AS window_sessions FROM usage WHERE ts >= '2024-01-01'),
-  (SELECT count(*) AS today_events, CAST(coalesce(sum({TOTAL_SQL}), 0) AS BIGINT) AS today_total_tokens, round(sum(cost_usd), 6) AS today_cost_usd, count(DISTINCT session_id) AS today_sessions FROM usage WHERE ts >= '2024-01-31'),
+_TOP = "SELECT {k} FROM usage WHERE ts >= '2024-01-01' GROUP BY {k} ORDER BY coalesce(sum(CAST(cost_usd AS DECIMAL(28, 12))), 0) DESC, sum(" + TOTAL_SQL + ") DESC, {k} LIMIT 1"
+_query("agg21_overview", f"""SELECT * FROM (SELECT count(*) AS window_events, CAST(sum({TOTAL_SQL}) AS BIGINT) AS window_total_tokens, round(CAST(sum(CAST(cost_usd AS DECIMAL(28, 12))) AS DOUBLE), 9) AS window_cost_usd, count(DISTINCT session_id) AS window_sessions FROM usage WHERE ts >= '2024-01-01'),
+  (SELECT count(*) AS today_events, CAST(coalesce(sum({TOTAL_SQL}), 0) AS BIGINT) AS today_total_tokens, round(CAST(sum(CAST(cost_usd AS DECIMAL(28, 12))) AS DOUBLE), 9) AS today_cost_usd, count(DISTINCT session_id) AS today_sessions FROM usage WHERE ts >= '2024-01-31'),
   (SELECT ({_TOP.format(k='model')}) AS top_model, ({_TOP.format(k='project')}) AS top_project)""")(lambda t: _micro(reports.overview(t.usage, t.savings, AS_OF)))
 _query("ord04_top_model", f"SELECT ({_TOP.format(k='model')}) AS top_model")(lambda t: reports.top_by_cost(reports.models(reports.since(t.usage, "2024-01-01"))).select(F.col("key").alias("top_model")))
 _query("agg22_model_order", "SELECT model, CAST(sum(total) AS BIGINT) AS total_tokens FROM merged GROUP BY model")(lambda t: api.model_order(t.merged))
