@@ -31,8 +31,9 @@ UNDETERMINED = "und"
 _TABLES: dict = {}
 
 
-def training_sample(rows: DataFrame, label: str, text: str, *, max_rows: int, max_bytes: int) -> DataFrame:
-    """At most ``max_rows`` different texts and ``max_bytes`` a label, in the order of a hash of the text.
+def training_sample(rows: DataFrame, label: str, text: str, *, max_rows: int, max_bytes: int, max_labels: int = 1000) -> DataFrame:
+    """At most ``max_rows`` different texts and ``max_bytes`` a label, in the order of a hash of the text; the
+    ``max_labels`` most frequent labels.
 
     A first pass counts rows a label; the second keeps about as many as are wanted by that hash alone, so
     that only these are shuffled, whatever the size of the table or of its largest label.
@@ -42,8 +43,9 @@ def training_sample(rows: DataFrame, label: str, text: str, *, max_rows: int, ma
     )
     chance = F.least(F.lit(1.0), F.lit(1.5 * max_rows) / F.col("_n"))
     counts = usable.groupBy("_label").agg(F.approx_count_distinct(F.xxhash64("_text"), 0.02).alias("_n"))
+    counts = counts.orderBy(F.desc("_n"), "_label").limit(max_labels)
     hashed = usable.withColumn("_h", unit_hash(F.col("_text"), F.lit(11)))
-    some = hashed.join(counts, "_label").filter(F.col("_h") < chance)
+    some = hashed.join(F.broadcast(counts), "_label").filter(F.col("_h") < chance)
     once = some.groupBy("_label", "_h", F.xxhash64("_text").alias("_x")).agg(F.any_value("_text").alias("_text"))
     order = Window.partitionBy("_label").orderBy("_h", "_x")
     sized = once.withColumn("_bytes", F.sum(F.octet_length("_text")).over(order)).withColumn("_n", F.row_number().over(order))
