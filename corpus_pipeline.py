@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm.common import shared_dir
+from meterlake.llm.common import free_name, shared_dir
 from meterlake.llm.decontam import find_leaks
 from meterlake.llm.langid import UNDETERMINED, identify
 from meterlake.llm.linededup import dedup_lines
@@ -22,8 +22,9 @@ from meterlake.llm.simhash import drop_near_duplicates
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Goes: documents without a language (null or no letter). Null or wrong labels become the language found."""
-    found = identify(docs, docs, into="_language").filter(F.col("_language.lang") != UNDETERMINED)
-    return found.withColumn("lang", F.col("_language.lang")).select(*docs.columns)
+    into = free_name(docs, "_language")
+    found = identify(docs, docs, into=into).filter(F.col(f"{into}.lang") != UNDETERMINED)
+    return found.withColumn("lang", F.col(f"{into}.lang")).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +40,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Goes: documents that hold a benchmark item."""
-    found = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), into="_leaks")
-    return found.filter(F.size("_leaks") == 0).select(*docs.columns)
+    into = free_name(docs, "_leaks")
+    found = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), into=into)
+    return found.filter(F.size(into) == 0).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

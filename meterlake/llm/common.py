@@ -28,6 +28,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores behind it until no column of the frame has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(id_col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null ids count as the text ''."""
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(n))

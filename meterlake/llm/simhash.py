@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_slices
+from .common import cut, free_name, text_slices
 
 RADIUS = 4
 SEED = 42
@@ -229,11 +229,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one document of each component: the smallest id (null last), of equal ids the first row."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    place = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.col("_row").alias("row"))
+    row = free_name(docs, "_row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    place = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.col(row).alias("row"))
     rows = cut(numbered.select(place.alias("_place"), fingerprint_column(F.col(text_col), shingle).alias("_print")))
     nodes = rows.groupBy("_print").agg(F.min("_place").alias("_place"))
     roots = components(fingerprint_links(rows.select("_print").distinct(), radius))
     known = nodes.join(roots, nodes["_print"] == roots["node"], "left")
     first = known.groupBy(F.coalesce("root", "_print")).agg(F.min("_place").alias("_place"))
-    return numbered.join(first.select(F.col("_place.row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    return numbered.join(first.select(F.col("_place.row").alias(row)), row, "left_semi").select(*docs.columns)
