@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +46,19 @@ def unit_hash(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))
 
 
-def text_slices(texts: pa.Array, max_bytes: int = 2 << 20) -> Iterator[tuple[int, list[bytes]]]:
+_MODEL: dict = {}
+
+
+def worker_model(key: object, build: Callable[[], object]) -> object:
+    """``build()``, kept by the worker process for its later tasks. A worker keeps one model alone, so that those of a
+    pipeline's stages don't add up in its memory."""
+    if key not in _MODEL:
+        _MODEL.clear()
+        _MODEL[key] = build()
+    return _MODEL[key]
+
+
+def text_slices(texts: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, UTF-8 texts) of slices of at most ``max_bytes`` or one text; null is an empty text."""
     rows, total, first = [], 0, 0
     for i, x in enumerate(texts.cast(pa.large_binary())):

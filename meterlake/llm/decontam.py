@@ -18,17 +18,19 @@ item's windows the most similar counts, the earliest of equals.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
-from .common import text_slices
+from .common import text_slices, worker_model
 
 SHINGLE = 5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -36,7 +38,8 @@ _BASE = 0x100000001B3
 _WORD_BYTE = np.zeros(256, bool)
 _WORD_BYTE[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
 _WORD_BYTE[128:] = True
-_CACHE: dict = {}
+#: Bytes hashed, and words fingerprinted, at a time.
+_PART, _SPAN = 1 << 19, 8192
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -47,26 +50,35 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse, modulo 2**64."""
-    if len(_CACHE.get("powers", ((),))[0]) < n:
-        size = max(n, 1 << 22)
-        up = np.full(size, _BASE, np.uint64)
-        down = np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        _CACHE["powers"] = np.cumprod(up), np.cumprod(down)
-    up, down = _CACHE["powers"]
-    return up[:n], down[:n]
+    if n <= len(_UP):
+        return _UP[:n], _DOWN[:n]
+    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
+_UP = _DOWN = np.zeros(0, np.uint64)
+_UP, _DOWN = _powers(_PART + 1)
+
+
+def _word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    up, down = _powers(len(buf) + 1)
+    sums = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts])
 
 
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of lower-cased texts, and where each text's words start (one more at the end)."""
     buf = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-    inside = _WORD_BYTE[buf]
-    edge = np.diff(inside.astype(np.int8), prepend=np.int8(0))
+    edge = np.diff(_WORD_BYTE[buf].astype(np.int8), prepend=np.int8(0))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _powers(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts])
+    hashes, k = np.empty(len(starts), np.uint64), 0
+    while k < len(starts):  # in parts of bounded size that end between words
+        at = starts[k]
+        to = max(k + 1, int(np.searchsorted(ends, at + _PART, "right")))
+        hashes[k:to] = _word_hashes(buf[at : ends[to - 1]], starts[k:to] - at, ends[k:to] - at)
+        k = to
     offsets = np.cumsum([0] + [len(t) + 1 for t in texts])
     return hashes, np.searchsorted(starts, offsets)
 
@@ -93,6 +105,12 @@ def _pack(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1, bitorder="little").view("<u8").reshape(-1)
 
 
+def windows_with(hits: np.ndarray, reach: int, last: int) -> np.ndarray:
+    """Starts, up to ``last``, of the windows that hold a hit: those from ``reach`` before one up to the hit itself."""
+    opened = np.bincount(np.clip(hits - reach, 0, last), minlength=last + 2)
+    return np.flatnonzero(np.cumsum(opened - np.bincount(np.minimum(hits + 1, last + 1), minlength=last + 2))[: last + 1] > 0)
+
+
 @dataclass
 class ItemIndex:
     """Fingerprints, multi-index and shingles of a block of items: (id, lower-cased UTF-8 text)."""
@@ -162,21 +180,23 @@ class ItemIndex:
 
     def match(self, hashes: np.ndarray, hits: dict[int, np.ndarray]) -> list[tuple]:
         """(item id, first word, end word, differing bits, similarity) of one document. ``hits``: by shingle length,
-        where shingles of items are."""
-        sums, best = None, {}
-        for size in self.by_size:
-            n, width = min(SHINGLE, size), min(size, len(hashes))
-            at = hits.get(n, np.zeros(0, np.int64))
-            if not len(at):
-                continue
-            starts = np.unique(np.clip((at[:, None] - np.arange(size - n + 1)).ravel(), 0, len(hashes) - width))
-            sums = _sums(hashes, self.weights(hashes)) if sums is None else sums
-            prints = _pack(sums[starts + width] - sums[starts])
-            for w, item in zip(*self.candidates(prints, size), strict=True):
-                s = int(starts[w])
-                alike = self.similarity(item, shingles(hashes[s : s + width], n))
-                if alike >= self.threshold and (item not in best or alike > best[item][4]):
-                    best[item] = (self.ids[item], s, s + width, int(np.bitwise_count(prints[w] ^ self.prints[item])), alike)
+        where shingles of items are. Memory is bounded by ``_SPAN`` and the longest item, however long the document."""
+        best, widest = {}, max(self.by_size)
+        starts = {s: windows_with(hits[min(SHINGLE, s)], s - min(SHINGLE, s), len(hashes) - min(s, len(hashes))) for s in self.by_size}
+        for left in range(0, len(hashes), _SPAN):
+            own, sums = hashes[left : left + _SPAN + widest], None
+            for size, every in starts.items():
+                some = every[np.searchsorted(every, left) : np.searchsorted(every, left + _SPAN)]
+                if not len(some):
+                    continue
+                sums = _sums(own, self.weights(own)) if sums is None else sums
+                width = min(size, len(hashes))
+                prints = _pack(sums[some - left + width] - sums[some - left])
+                for w, item in zip(*self.candidates(prints, size), strict=True):
+                    s = int(some[w])
+                    alike = self.similarity(item, shingles(hashes[s : s + width], min(SHINGLE, size)))
+                    if alike >= self.threshold and (item not in best or alike > best[item][4]):
+                        best[item] = (self.ids[item], s, s + width, int(np.bitwise_count(prints[w] ^ self.prints[item])), alike)
         return [best[k] for k in sorted(best)]
 
     def find(self, texts: list[bytes]) -> list[list[tuple]]:
@@ -200,17 +220,20 @@ class ItemIndex:
 MATCH = "array<struct<item_id:{0},start_word:bigint,end_word:bigint,bits:int,similarity:double>>"
 
 
-def matches_column(spark, items: list[tuple], item_type: str, text: Column, *, radius: int = 10, threshold: float = 0.8) -> Column:
+def matches_column(spark, items: list[tuple], item_type: DataType, text: Column, *, radius: int = 10, threshold: float = 0.8) -> Column:
     """All matches of a text with a bounded list of items."""
-    shared = spark.sparkContext.broadcast([(i, (t or "").lower().encode("utf-8")) for i, t in items])
+    pairs = [(i, (t or "").lower().encode("utf-8")) for i, t in items]
+    kind = pa.list_(pa.struct([("item_id", to_arrow_type(item_type)), ("start_word", pa.int64()), ("end_word", pa.int64()), ("bits", pa.int32()), ("similarity", pa.float64())]))
+    shared, key = spark.sparkContext.broadcast(pairs), (hashlib.sha256(repr(pairs).encode()).hexdigest(), radius, threshold)
+
+    names = ("item_id", "start_word", "end_word", "bits", "similarity")
 
-    @F.pandas_udf(MATCH.format(item_type))
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = ItemIndex(shared.value, radius, threshold)
+    @F.arrow_udf(MATCH.format(item_type.simpleString()))
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        index = worker_model(key, lambda: ItemIndex(shared.value, radius, threshold))
         for texts in batches:
-            found = [m for _, block in text_slices(pa.array(texts, pa.string())) for m in (index.find(block) if index.ids else [[]] * len(block))]
-            names = ("item_id", "start_word", "end_word", "bits", "similarity")
-            yield pd.Series([[dict(zip(names, x, strict=True)) for x in m] for m in found], dtype=object)
+            found = [m for _, block in text_slices(texts) for m in (index.find(block) if index.ids else [[]] * len(block))]
+            yield pa.array([[dict(zip(names, x, strict=True)) for x in m] for m in found], kind)
 
     return find(text)
 
@@ -230,7 +253,7 @@ def find_leaks(
     into: str = "matches", radius: int = 10, threshold: float = 0.8, max_bytes: int = 16 << 20,
 ) -> DataFrame:
     """``docs`` with a column of the benchmark items each text holds (replaced if there is one of that name)."""
-    item_type = benchmark.schema[item_id].dataType.simpleString()
+    item_type = benchmark.schema[item_id].dataType
     columns = [
         matches_column(docs.sparkSession, items, item_type, F.col(text_col), radius=radius, threshold=threshold)
         for items in item_blocks(benchmark, item_id, item_text, max_bytes=max_bytes)

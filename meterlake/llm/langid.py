@@ -16,6 +16,7 @@ there is nothing to learn from. Only text and language are learned from; repeate
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 from collections.abc import Iterator
 
@@ -25,10 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import padded, text_slices, unit_hash
+from .common import padded, text_slices, unit_hash, worker_model
 
 UNDETERMINED = "und"
-_TABLES: dict = {}
 
 
 def training_sample(rows: DataFrame, label: str, text: str, *, max_rows: int, max_bytes: int, max_labels: int = 1000) -> DataFrame:
@@ -168,25 +168,26 @@ def train(rows: DataFrame, *, text_col: str = "text", lang_col: str = "lang", or
 def language_of(spark, model: bytes, text: Column, *, max_contexts: int = 12_288) -> Column:
     """Struct (lang, score, bits_per_byte) of a text column. The score is the posterior chance of the
     winner if all languages are as likely beforehand."""
-    shared = spark.sparkContext.broadcast(model)
-
-    @F.pandas_udf("lang string, score double, bits_per_byte double")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if shared.value not in _TABLES:
-            _TABLES.clear()
-            counts = pickle.loads(shared.value)
-            _TABLES[shared.value] = ContextTree(counts, max_contexts) if counts else None
-        tree = _TABLES[shared.value]
+    shared, key = spark.sparkContext.broadcast(model), (hashlib.sha256(model).hexdigest(), max_contexts)
+
+    def build() -> ContextTree | None:
+        counts = pickle.loads(shared.value)
+        return ContextTree(counts, max_contexts) if counts else None
+
+    @F.arrow_udf("lang string, score double, bits_per_byte double")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tree = worker_model(key, build)
         for texts in batches:
             langs, scores, rates = [], [], []
-            for _, block in text_slices(pa.array(texts, pa.string())):
+            for _, block in text_slices(texts):
                 bits = tree.code_lengths(block) if tree else np.zeros((len(block), 1))
                 best = bits.argmin(1)
                 less = bits - bits.min(1, keepdims=True)
                 scores.append(1 / np.exp2(-np.minimum(less, 1000)).sum(1))
                 langs += [tree.languages[b] if tree else UNDETERMINED for b in best]
                 rates.append(bits.min(1) / np.maximum([len(b) for b in block], 1))
-            yield pd.DataFrame({"lang": langs, "score": np.concatenate(scores) if scores else [], "bits_per_byte": np.concatenate(rates) if rates else []})
+            columns = [pa.array(langs, pa.string()), *(pa.array(np.concatenate([np.zeros(0), *x])) for x in (scores, rates))]
+            yield pa.StructArray.from_arrays(columns, names=["lang", "score", "bits_per_byte"])
 
     found = predict(text)
     letters = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))

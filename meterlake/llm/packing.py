@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_SHARED: dict = {}
+from .common import worker_model
 
 
 @dataclass(frozen=True)
@@ -123,13 +123,6 @@ class WordEncoder:
         return [b"".join(map(get, ws)) + self.end for ws in split]
 
 
-def _encoder(path: str, end_id: int) -> WordEncoder:
-    """One a worker process, so that later tasks of the worker find its words known."""
-    if (path, end_id) not in _SHARED:
-        _SHARED[path, end_id] = WordEncoder(path, end_id)
-    return _SHARED[path, end_id]
-
-
 def pack_documents(
     docs: DataFrame, tokenizer_path: str, *, end_id: int = 0, capacity: Capacity = Capacity(),
     id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 4 << 20,
@@ -144,7 +137,7 @@ def pack_documents(
     most = capacity.tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer_path, end_id)
+        encoder = worker_model((tokenizer_path, end_id), lambda: WordEncoder(tokenizer_path, end_id))  # keeps its words
         base, next_id = TaskContext.get().partitionId() << 33, 0
         held: list[tuple] = []
         n_tokens, kind = 0, None

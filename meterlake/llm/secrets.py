@@ -22,7 +22,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -197,15 +196,18 @@ def find_secrets(texts: list[bytes]) -> list[list[tuple[int, int, int]]]:
 def secret_spans(text: Column) -> Column:
     """Struct (spans, base): strings ``kind:start:end`` joined by commas, and (n_assign, n_access, n_hex)."""
 
-    @F.pandas_udf("spans string, base string, n_assign long, n_access long, n_hex long")
-    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    kinds = {"spans": pa.string(), "base": pa.string(), "n_assign": pa.int64(), "n_access": pa.int64(), "n_hex": pa.int64()}
+
+    @F.arrow_udf("spans string, base string, n_assign long, n_access long, n_hex long")
+    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         join = lambda xs: ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in xs)
         for texts in batches:
             rows = []
-            for _, block in text_slices(pa.array(texts, pa.string())):
+            for _, block in text_slices(texts):
                 for found in find_secrets(block):
                     base = [x for x in found if x[1] < len(BASE)]
                     rows.append((join(found), join(base), *(sum(x[1] == k for x in base) for k in range(3))))
-            yield pd.DataFrame(rows, columns=["spans", "base", "n_assign", "n_access", "n_hex"])
+            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds.values())]
+            yield pa.StructArray.from_arrays(columns, names=list(kinds))
 
     return scan(text)

@@ -23,7 +23,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -58,11 +57,11 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
 def fingerprint_column(text: Column, shingle: int = 4) -> Column:
     """The fingerprint as a signed long."""
 
-    @F.pandas_udf("long")
-    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            found = [fingerprint(t, shingle) for _, block in text_slices(pa.array(texts, pa.string())) for t in block]
-            yield pd.Series(np.array(found, np.uint64).astype(np.int64))
+            found = [fingerprint(t, shingle) for _, block in text_slices(texts) for t in block]
+            yield pa.array(np.array(found, np.uint64).view(np.int64))
 
     return prints(text)
 

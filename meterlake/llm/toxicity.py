@@ -108,11 +108,11 @@ def toxic_score(spark, weights: np.ndarray, text: Column, *, features: Features
     """Chance that a text is toxic, 0 to 1."""
     shared = spark.sparkContext.broadcast(weights)
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         w = shared.value
         for texts in batches:
-            sums = [float(w[features.of(t)].sum(dtype=np.float64)) for _, block in text_slices(pa.array(texts, pa.string())) for t in block]
-            yield pd.Series(1 / (1 + np.exp(-np.clip(np.array(sums) + float(w[-1]), -700, 700))), dtype=float)
+            sums = [float(w[features.of(t)].sum(dtype=np.float64)) for _, block in text_slices(texts) for t in block]
+            yield pa.array(1 / (1 + np.exp(-np.clip(np.array(sums, float) + float(w[-1]), -700, 700))))
 
     return score(text)
