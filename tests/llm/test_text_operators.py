@@ -168,6 +168,16 @@ def test_lines_equal_all_pairs(spark):
     assert got == sorted(brute_lines(rows))
     shuffled = sorted((r.doc_id, r.line_no, r.n_links, r.removed) for r in linededup.similar_lines(df, small=0).collect())
     assert shuffled == got
+    for size in (2, 5, 1000):
+        fast = linededup.similar_lines(df, count_links=False, long_list=size).collect()
+        assert sorted((r.doc_id, r.line_no, r.removed) for r in fast) == [(d, n, gone) for d, n, _, gone in got]
+
+
+def test_a_large_group_of_near_lines_makes_few_pairs(spark):
+    base = [f"w{k}" for k in range(20)]
+    rows = [(k, " ".join([*base[: k % 20], f"own{k}", *base[k % 20 + 1 :]]), "en", "s", 1) for k in range(400)]
+    got = linededup.similar_lines(spark.createDataFrame(rows, SCHEMA), count_links=False).collect()
+    assert sorted((r.doc_id, r.removed) for r in got) == sorted((d, gone) for d, _, _, gone in brute_lines(rows))
 
 
 def test_line_dedup_of_odd_rows(odd, odd_rows, empty):
