@@ -4,8 +4,9 @@ Base kinds come from patterns alone: ``assign`` (a credential name, a separator
 access key id) and ``hex`` (a long run of hex digits). Confirmed kinds come from decoding: ``jwt`` is a signed
 token whose header and payload decode to JSON objects, the header naming an algorithm; ``der`` is base64 or
 hex, or the body of a PEM block, that decodes to a key encoding (nested ASN.1 lengths that fill their parents exactly,
-in the shape of a PKCS#1, PKCS#8, SEC 1 or SubjectPublicKeyInfo key); ``ssh`` is base64 of length-prefixed
-fields that fill the blob and start with a known key type, or an OpenSSH private key.
+in the shape of a PKCS#1, PKCS#8, encrypted PKCS#8, SEC 1 or SubjectPublicKeyInfo key), or a PEM block whose header
+lines name a cipher and its initial vector and whose body is whole blocks of that cipher; ``ssh`` is base64 of
+length-prefixed fields that fill the blob and start with a known key type, or an OpenSSH private key.
 
 Spans are code points, end exclusive. Confirmed spans are added; they never change base spans.
 
@@ -34,12 +35,18 @@ ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-JWT = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_.-])")
-ENCODED = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/_=-])")
+PEM = re.compile(
+    r"-----BEGIN ([A-Z0-9 ]{0,40}KEY)-----\s*((?:[A-Za-z][A-Za-z0-9-]*:[^\r\n]*\r?\n[ \t]*)*)([A-Za-z0-9+/=\s]+)-----END \1-----"
+)
+ENCRYPTED = re.compile(r"^Proc-Type:[ \t]*4,[ \t]*ENCRYPTED[ \t]*\r?$", re.MULTILINE)
+CIPHER = re.compile(r"^[ \t]*DEK-Info:[ \t]*[A-Za-z0-9-]+,[ \t]*([0-9A-Fa-f]{16}|[0-9A-Fa-f]{32})[ \t]*\r?$", re.MULTILINE)
+JWT = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?!\.?[A-Za-z0-9_-])")
+ENCODED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/_-])")
 HEX_CODED = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{2}){24,}(?![0-9A-Za-z])")
 #: Object identifiers of key algorithms (RSA, EC, DSA, X25519, X448, Ed25519, Ed448), DER content.
 KEY_OIDS = tuple(map(bytes.fromhex, ("2a864886f70d010101", "2a8648ce3d0201", "2a8648ce380401", "2b656e", "2b656f", "2b6570", "2b6571")))
+#: What identifiers of password-based encryption start with (PKCS#5, PKCS#12), DER content.
+PBE_OIDS = tuple(map(bytes.fromhex, ("2a864886f70d0105", "2a864886f70d010c01")))
 #: Key types of SSH public keys.
 SSH_TYPES = (
     b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521",
@@ -98,6 +105,9 @@ def is_der_key(data: bytes) -> bool:
         return len(parts[0][1]) == 1 and algorithm(parts[1])
     if tags == [0x30, 0x03]:  # SubjectPublicKeyInfo
         return algorithm(parts[0]) and parts[1][1][:1] == b"\0"
+    if tags == [0x30, 0x04]:  # encrypted PKCS#8
+        scheme = parts[0][1]
+        return bool(scheme) and scheme[0][0] == 0x06 and scheme[0][1].startswith(PBE_OIDS) and len(parts[1][1]) >= 16
     if tags[:2] == [0x02, 0x04]:  # SEC 1
         return parts[0][1] == b"\x01" and len(parts[1][1]) >= 20
     if len(tags) in (6, 9) and set(tags) == {0x02}:  # PKCS#1 and DSA private keys
@@ -118,6 +128,12 @@ def is_ssh_key(data: bytes) -> bool:
     return len(fields) >= 2 and fields[0] in SSH_TYPES and len(fields[1]) >= 3
 
 
+def is_encrypted_key(headers: str, data: bytes) -> bool:
+    """A PEM body in whole blocks of the cipher that the header lines name; the initial vector is as long as a block."""
+    vector = CIPHER.search(headers)
+    return bool(vector and ENCRYPTED.search(headers)) and len(data) >= 32 and len(data) % (len(vector[1]) // 2) == 0
+
+
 def is_token(header: str, payload: str) -> bool:
     def parsed(part: str) -> object:
         data = decode_base64(part)
@@ -143,9 +159,9 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     found = [(m.start(), jwt, m.end()) for m in JWT.finditer(text) if is_token(m[1], m[2])]
     taken = []
     for m in PEM.finditer(text):
-        data = decode_base64(m[2])
-        if data and (is_der_key(data) or is_ssh_key(data)):
-            found.append((m.start(), der if is_der_key(data) else ssh, m.end()))
+        data = decode_base64(m[3])
+        if data and (is_der_key(data) or is_ssh_key(data) or is_encrypted_key(m[2], data)):
+            found.append((m.start(), ssh if is_ssh_key(data) else der, m.end()))
             taken.append(m.span())
     for m in ENCODED.finditer(text):
         data = None if any(a <= m.start() < b for a, b in taken) else decode_base64(m[0])
