@@ -2,11 +2,14 @@
 
 Words are runs of letters and digits of the lower-cased text (any non-ASCII byte counts as a letter). A
 sequence's features are its words, weighted by their rarity among the items; its 64-bit fingerprint has the
-signs of the weighted sums of their hash bits. Every window of a document that is as long as an item is
-fingerprinted, if it holds a shingle of any item at all: a window without one has similarity 0 and is never
-reported. Fingerprints are looked up in a multi-index of ``radius + 1`` bit blocks: by the pigeonhole
-principle every item within ``radius`` bits shares a block. Each candidate is verified by exact weighted
-Jaccard similarity of shingles (five words, repeats included, rare shingles weigh more), 0.8 or more.
+signs of the weighted sums of their hash bits. What counts is the exact weighted Jaccard similarity of shingles
+(five words, repeats included, rare shingles weigh more), 0.8 or more, of a window of a document that is as long
+as the item. No such window is lost: an item's most common shingles are left out of the lookup only while they
+weigh less than 0.8 of it together, so any match holds one of the others, which names the item; then the weight
+of all the item's shingles in a window, repeats beyond the item's own included, bounds the similarity from above,
+and only windows whose bound reaches 0.8 are verified. Fingerprints differ by any number of bits at that
+similarity, so they are told (``bits``) but decide nothing, unless a ``radius`` is given: then matches further
+apart go. ``candidates`` looks fingerprints up within a radius, in a multi-index of ``radius + 1`` bit blocks.
 
 The items are taken to the executors in blocks of bounded size; each block is matched against all documents,
 so the benchmark may grow. Documents are read once a block and are never shuffled.
@@ -38,8 +41,8 @@ _BASE = 0x100000001B3
 _WORD_BYTE = np.zeros(256, bool)
 _WORD_BYTE[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
 _WORD_BYTE[128:] = True
-#: Bytes hashed, and words fingerprinted, at a time.
-_PART, _SPAN = 1 << 19, 8192
+#: Bytes hashed at a time.
+_PART = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -116,7 +119,7 @@ class ItemIndex:
     """Fingerprints, multi-index and shingles of a block of items: (id, lower-cased UTF-8 text)."""
 
     items: list[tuple[object, bytes]]
-    radius: int = 10
+    radius: int | None = None
     threshold: float = 0.8
     ids: list = field(init=False)
 
@@ -137,7 +140,12 @@ class ItemIndex:
             self.anchors[size] = np.unique(np.concatenate([s for s, x in zip(self.shingles, item_words, strict=True) if min(SHINGLE, len(x)) == size]))
         spread = Counter(s for x in self.shingles for s in set(x.tolist()))
         self.shingle_weight = {s: self._rarity(n, c) for s, c in spread.items()}
+        self.anchor_weights = {n: np.array([self.shingle_weight[s] for s in known.tolist()], np.int64) for n, known in self.anchors.items()}
+        self.shingle_totals = np.array([sum(map(self.shingle_weight.__getitem__, x.tolist())) for x in self.shingles], np.int64)
+        self.names = self._names()
         self.prints = np.array([_pack(_sums(x, self.weights(x))[-1:])[0] for x in item_words], np.uint64)
+        if self.radius is None:
+            return
         edges = np.linspace(0, 64, self.radius + 2).astype(int)
         self.blocks = [(np.uint64(a), np.uint64((1 << int(b - a)) - 1)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
         self.by_size = {}
@@ -150,6 +158,24 @@ class ItemIndex:
                 tables.append((value[order], own[order]))
             self.by_size[size] = tables
 
+    def _names(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """By shingle length, (shingle, item) sorted by shingle: each item's shingles but its most common ones, which weigh less
+        than the threshold of it together."""
+        pairs = {n: ([], []) for n in self.anchors}
+        for item, (own, length) in enumerate(zip(self.shingles, self.lengths.tolist(), strict=True)):
+            counts, spare = Counter(own.tolist()), self.threshold * self.shingle_totals[item] * (1 - 1e-9)
+            for s in sorted(counts, key=lambda s: (self.shingle_weight[s], s)):
+                spare -= self.shingle_weight[s] * counts[s]
+                if spare <= 0:
+                    for column, x in zip(pairs[min(SHINGLE, length)], (s, item), strict=True):
+                        column.append(x)
+        out = {}
+        for n, (found, items) in pairs.items():
+            found, items = np.array(found, np.uint64), np.array(items, np.int64)
+            order = np.argsort(found, kind="stable")
+            out[n] = found[order], items[order]
+        return out
+
     @staticmethod
     def _rarity(n: int, df: int) -> int:
         return round(16 * np.log2(1 + n / max(df, 1)))
@@ -178,49 +204,78 @@ class ItemIndex:
         both = np.unique(np.concatenate(found))
         return both // len(self.prints), both % len(self.prints)
 
-    def match(self, hashes: np.ndarray, hits: dict[int, np.ndarray]) -> list[tuple]:
-        """(item id, first word, end word, differing bits, similarity) of one document. ``hits``: by shingle length,
-        where shingles of items are. Memory is bounded by ``_SPAN`` and the longest item, however long the document."""
-        best, widest = {}, max(self.by_size)
-        starts = {s: windows_with(hits[min(SHINGLE, s)], s - min(SHINGLE, s), len(hashes) - min(s, len(hashes))) for s in self.by_size}
-        for left in range(0, len(hashes), _SPAN):
-            own, sums = hashes[left : left + _SPAN + widest], None
-            for size, every in starts.items():
-                some = every[np.searchsorted(every, left) : np.searchsorted(every, left + _SPAN)]
-                if not len(some):
-                    continue
-                sums = _sums(own, self.weights(own)) if sums is None else sums
-                width = min(size, len(hashes))
-                prints = _pack(sums[some - left + width] - sums[some - left])
-                for w, item in zip(*self.candidates(prints, size), strict=True):
-                    s = int(some[w])
-                    alike = self.similarity(item, shingles(hashes[s : s + width], min(SHINGLE, size)))
-                    if alike >= self.threshold and (item not in best or alike > best[item][4]):
-                        best[item] = (self.ids[item], s, s + width, int(np.bitwise_count(prints[w] ^ self.prints[item])), alike)
+    def match(self, hashes: np.ndarray, hits: dict[int, np.ndarray], rare: dict[int, np.ndarray]) -> list[tuple]:
+        """(item id, first word, end word, differing bits, similarity) of one document. By shingle length, ``hits`` are
+        where shingles of items are and ``rare`` where those are that name items."""
+        best = {}
+        for n, at in hits.items():
+            if not len(rare[n]):
+                continue
+            every = shingles(hashes, n)
+            weight = np.full(len(every), self.new_weight, np.int64)
+            known = every[at]
+            weight[at] = self.anchor_weights[n][np.searchsorted(self.anchors[n], known)]
+            total = np.concatenate([[0], np.cumsum(weight)])
+            for item in self.named(n, every[rare[n]]).tolist():
+                width = min(int(self.lengths[item]), len(hashes))
+                own = at[self._among(np.unique(self.shingles[item]), known)]
+                starts = windows_with(own, width - n, len(hashes) - width)
+                shared = np.concatenate([[0], np.cumsum(weight[own])])
+                a, b = np.searchsorted(own, starts), np.searchsorted(own, starts + (width - n + 1))
+                both = np.minimum(shared[b] - shared[a], self.shingle_totals[item])
+                bound = both / (self.shingle_totals[item] + total[starts + (width - n + 1)] - total[starts] - both)
+                some = np.flatnonzero(bound >= self.threshold)
+                found = None
+                for k in some[np.argsort(-bound[some], kind="stable")]:
+                    if found and bound[k] < found[4]:
+                        break
+                    s = int(starts[k])
+                    alike = self.similarity(item, every[s : s + width - n + 1])
+                    if alike < self.threshold or (found and (-alike, s) >= (-found[4], found[1])):
+                        continue
+                    bits = self.differing(item, hashes[s : s + width])
+                    if self.radius is None or bits <= self.radius:
+                        found = (self.ids[item], s, s + width, bits, alike)
+                if found:
+                    best[item] = found
         return [best[k] for k in sorted(best)]
 
+    @staticmethod
+    def _among(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Which values a sorted array has."""
+        return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+    def named(self, n: int, found: np.ndarray) -> np.ndarray:
+        """The items that have one of these shingles among those that name them."""
+        keys, items = self.names[n]
+        found = np.unique(found)
+        a, b = np.searchsorted(keys, found), np.searchsorted(keys, found, "right")
+        return np.unique(np.concatenate([items[x:y] for x, y in zip(a, b, strict=True)]))
+
+    def differing(self, item: int, window: np.ndarray) -> int:
+        return int(np.bitwise_count(_pack(_sums(window, self.weights(window))[-1:])[0] ^ self.prints[item]))
+
     def find(self, texts: list[bytes]) -> list[list[tuple]]:
         """Matches of each text."""
         hashes, at = words([t.decode("utf-8").lower().encode("utf-8") for t in texts])
-        marks = {}
+        marks, rare = {}, {}
         for n, known in self.anchors.items():
             every = shingles(hashes, n)
-            k = np.minimum(np.searchsorted(known, every), len(known) - 1)
-            marks[n] = np.flatnonzero(known[k] == every)
+            marks[n] = np.flatnonzero(self._among(known, every))
+            rare[n] = marks[n][self._among(self.names[n][0], every[marks[n]])]
         out: list[list[tuple]] = [[] for _ in texts]
-        hot = np.unique(np.concatenate([np.searchsorted(at, m, "right") - 1 for m in marks.values()])) if marks else []
+        hot = np.unique(np.concatenate([np.searchsorted(at, m, "right") - 1 for m in rare.values()])) if rare else []
         for d in hot:
             a, b = at[d], at[d + 1]
-            hits = {n: m[(m >= a) & (m + n <= b)] - a for n, m in marks.items()}
-            if any(map(len, hits.values())):
-                out[d] = self.match(hashes[a:b], hits)
+            inside = lambda m, n: m[np.searchsorted(m, a) : np.searchsorted(m, b - n, "right")] - a  # noqa: E731, B023
+            out[d] = self.match(hashes[a:b], {n: inside(m, n) for n, m in marks.items()}, {n: inside(m, n) for n, m in rare.items()})
         return out
 
 
 MATCH = "array<struct<item_id:{0},start_word:bigint,end_word:bigint,bits:int,similarity:double>>"
 
 
-def matches_column(spark, items: list[tuple], item_type: DataType, text: Column, *, radius: int = 10, threshold: float = 0.8) -> Column:
+def matches_column(spark, items: list[tuple], item_type: DataType, text: Column, *, radius: int | None = None, threshold: float = 0.8) -> Column:
     """All matches of a text with a bounded list of items."""
     pairs = [(i, (t or "").lower().encode("utf-8")) for i, t in items]
     kind = pa.list_(pa.struct([("item_id", to_arrow_type(item_type)), ("start_word", pa.int64()), ("end_word", pa.int64()), ("bits", pa.int32()), ("similarity", pa.float64())]))
@@ -250,7 +305,7 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, *, max_bytes:
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
-    into: str = "matches", radius: int = 10, threshold: float = 0.8, max_bytes: int = 16 << 20,
+    into: str = "matches", radius: int | None = None, threshold: float = 0.8, max_bytes: int = 16 << 20,
 ) -> DataFrame:
     """``docs`` with a column of the benchmark items each text holds (replaced if there is one of that name)."""
     item_type = benchmark.schema[item_id].dataType

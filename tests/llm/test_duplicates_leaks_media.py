@@ -129,6 +129,43 @@ def test_leaks_are_found_with_small_edits_and_nothing_else(spark):
     assert leaks(spark, docs, []) == {} and leaks(spark, [None, ""], items) == {}
 
 
+def brute_leaks(items, docs, threshold=0.8):
+    """Every window of every document against every item, without fingerprints: the best, the earliest of equals."""
+    index, out = decontam.ItemIndex([(k, t.encode()) for k, t in enumerate(items)]), {}
+    for d, doc in enumerate(docs):
+        hashes, _ = decontam.words([doc.encode()])
+        for k, size in enumerate(index.lengths.tolist()):
+            n, width = min(decontam.SHINGLE, size), min(size, len(hashes))
+            found = [(index.similarity(k, decontam.shingles(hashes[s : s + width], n)), -s) for s in range(len(hashes) - width + 1)]
+            alike, s = max(found, default=(0, 0))
+            if alike >= threshold:
+                out[d, k] = (-s, width - s, alike)
+    return out
+
+
+def test_leaks_equal_all_windows(spark):
+    rng = random.Random(10)
+    some = lambda n: [f"{rng.choice('bcdfg')}{rng.randrange(300)}" for _ in range(n)]
+    shared = some(9)
+    items = [some(rng.randrange(15, 60)) for _ in range(12)] + [shared + some(rng.randrange(4, 20)) for _ in range(5)] + [some(2), some(6), shared * 4]
+    docs = []
+    for item in items:
+        for k in range(6):
+            cut, foreign = list(item), [f"z{rng.randrange(10**6)}" for _ in range(k + 1)]
+            if k % 3 == 0:
+                cut[: len(foreign)] = foreign
+            elif k % 3 == 1:
+                cut[-len(foreign) :] = foreign
+            else:
+                cut[rng.randrange(len(cut))] = foreign[0]
+            docs.append(" ".join([*some(rng.randrange(9)), *cut, *(cut if k == 4 else []), *some(rng.randrange(9))]))
+    texts = [" ".join(x) for x in items]
+    got = leaks(spark, docs, texts)
+    assert {k: (m.start_word, m.end_word, m.similarity) for k, m in got.items()} == brute_leaks(texts, docs)
+    assert len(got) > 30 and sum(m.bits > 10 for m in got.values()) > 3
+    assert leaks(spark, docs, texts, radius=10).keys() < got.keys()
+
+
 def test_multi_index_gives_every_item_within_the_radius():
     rng = np.random.default_rng(3)
     items = [(k, " ".join(map(str, rng.integers(0, 50, 12))).encode()) for k in range(200)]
