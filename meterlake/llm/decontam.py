@@ -290,7 +290,7 @@ def matches_column(spark, items: list[tuple], item_type: DataType, text: Column,
             found = [m for _, block in text_slices(texts) for m in (index.find(block) if index.ids else [[]] * len(block))]
             yield pa.array([[dict(zip(names, x, strict=True)) for x in m] for m in found], kind)
 
-    return find(text)
+    return find.asNondeterministic()(text)  # else an explode of the matches has Spark find them twice
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, *, max_bytes: int = 16 << 20) -> Iterator[list[tuple]]:

@@ -189,7 +189,7 @@ def language_of(spark, model: bytes, text: Column, *, max_contexts: int = 12_288
             columns = [pa.array(langs, pa.string()), *(pa.array(np.concatenate([np.zeros(0), *x])) for x in (scores, rates))]
             yield pa.StructArray.from_arrays(columns, names=["lang", "score", "bits_per_byte"])
 
-    found = predict(text)
+    found = predict.asNondeterministic()(text)  # else Spark may copy the call into filters and score each text twice
     letters = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
     return F.when(letters, found).otherwise(
         F.struct(F.lit(UNDETERMINED).alias("lang"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte"))

@@ -194,20 +194,26 @@ def test_lines_equal_all_pairs(spark):
                 words[rng.randrange(len(words))] = rng.choice(vocab)
             lines.append((" " if rng.random() < 0.9 else "\t ").join(words))
         rows.append((k, "\n".join([*lines, ""]) if k % 9 else None, "en", "s", 1))
-    df = spark.createDataFrame(rows, SCHEMA)
-    got = sorted((r.doc_id, r.line_no, r.n_links, r.removed) for r in linededup.similar_lines(df).collect())
-    assert got == sorted(brute_lines(rows))
-    shuffled = sorted((r.doc_id, r.line_no, r.n_links, r.removed) for r in linededup.similar_lines(df, small=0).collect())
-    assert shuffled == got
-    for size in (2, 5, 1000):
-        fast = linededup.similar_lines(df, count_links=False, long_list=size).collect()
-        assert sorted((r.doc_id, r.line_no, r.removed) for r in fast) == [(d, n, gone) for d, n, _, gone in got]
+    df, brute = spark.createDataFrame(rows, SCHEMA), sorted(brute_lines(rows))
+    text = {(d, n): frozenset(line.lower().split()) for d, t, *_ in rows if t is not None for n, line in enumerate(t.split("\n"))}
+    for kind in ({}, {"small": 0}, {"long_list": 2}, {"long_list": 5, "rounds": 1}):
+        got = linededup.similar_lines(df, **kind).collect()
+        assert sorted((r.doc_id, r.line_no, r.removed) for r in got) == [(d, n, gone) for d, n, _, gone in brute]
+        of = {}
+        for r in sorted(got, key=lambda r: (r.doc_id, r.line_no)):
+            of.setdefault(r.class_id, []).append((r.doc_id, r.line_no))
+        assert len(of) == len({text[p] for p in text if text[p]})  # a class a word set
+        for r in got:  # the representative pair is similar, and earlier
+            if r.match_id is not None:
+                x, y = text[of[r.class_id][0]], text[of[r.match_id][0]]
+                assert of[r.match_id][0] < of[r.class_id][0] and len(x & y) >= 0.8 * len(x | y) - 1e-9
+        assert all(r.removed == (r.match_id is not None or of[r.class_id][0] != (r.doc_id, r.line_no)) for r in got)
 
 
 def test_a_large_group_of_near_lines_makes_few_pairs(spark):
     base = [f"w{k}" for k in range(20)]
     rows = [(k, " ".join([*base[: k % 20], f"own{k}", *base[k % 20 + 1 :]]), "en", "s", 1) for k in range(400)]
-    got = linededup.similar_lines(spark.createDataFrame(rows, SCHEMA), count_links=False).collect()
+    got = linededup.similar_lines(spark.createDataFrame(rows, SCHEMA), long_list=32).collect()
     assert sorted((r.doc_id, r.removed) for r in got) == sorted((d, gone) for d, _, _, gone in brute_lines(rows))
 
 
