@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,21 +13,40 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir`` of the session, else one set here (tests)."""
+    """The folder all executors see, ``spark.checkpoint.dir`` of the session; only a local session may do without."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
-        place = "/tmp/checkpoints"
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(place)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        place = f"file://{tempfile.gettempdir()}/checkpoints-{os.getuid()}"
     return place.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: lineage ends there and each row is computed once."""
-    place = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(place)
-    return df.sparkSession.read.schema(df.schema).parquet(place)
+    """Writes ``df`` to the shared folder and reads it back: lineage ends there and each row is computed once. Shuffle files
+    of the job go as soon as it has ended."""
+    return cut_to(df)[0]
+
+
+def cut_to(df: DataFrame, **options: str) -> tuple[DataFrame, str]:
+    """As ``cut``, with the folder, which its owner may ``remove`` once what reads it has been written itself."""
+    spark = df.sparkSession
+    place, before = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}", spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(place)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+    return spark.read.schema(df.schema).parquet(place), place
+
+
+def remove(spark: SparkSession, place: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def free_name(df: DataFrame, name: str) -> str:
