@@ -2,19 +2,22 @@
 
 Words are runs of letters and digits of the lower-cased text (any non-ASCII byte counts as a letter). A
 sequence's features are its words, weighted by their rarity among the items; its 64-bit fingerprint has the
-signs of the weighted sums of their hash bits. What counts is the exact weighted Jaccard similarity of shingles
-(five words, repeats included, rare shingles weigh more), 0.8 or more, of a window of a document that is as long
-as the item. No such window is lost: an item's most common shingles are left out of the lookup only while they
-weigh less than 0.8 of it together, so any match holds one of the others, which names the item; then the weight
-of all the item's shingles in a window, repeats beyond the item's own included, bounds the similarity from above,
-and only windows whose bound reaches 0.8 are verified. Fingerprints differ by any number of bits at that
-similarity, so they are told (``bits``) but decide nothing, unless a ``radius`` is given: then matches further
-apart go. ``candidates`` looks fingerprints up within a radius, in a multi-index of ``radius + 1`` bit blocks.
+signs of the weighted sums of their hash bits. A window of a document that is as long as an item is a candidate if
+its fingerprint is within ``radius`` bits of the item's, looked up in a multi-index of ``radius + 1`` bit blocks, which
+finds all of them: fingerprints that close agree in a whole block. Candidates are verified by the exact weighted Jaccard
+similarity of shingles (five words, repeats included, rare shingles weigh more), 0.8 or more.
+
+Only windows that can be similar enough are fingerprinted: an item's most common shingles are left out of a lookup only
+while they weigh less than 0.8 of it together, so any match holds one of the others, which names the item; then the
+weight of all the item's shingles in a window, repeats beyond the item's own included, bounds the similarity from above.
+At a similarity of 0.8 fingerprints differ by about 10 bits of 64, unrelated ones by 32; the radius of 24 leaves room
+(of 1,193 edited items that are similar enough, one in ten is beyond 10 bits and none beyond 19).
 
 The items are taken to the executors in blocks of bounded size; each block is matched against all documents,
 so the benchmark may grow. Documents are read once a block and are never shuffled.
 
-Defined cases: null and empty texts match nothing; items without words are ignored; items shorter than five
+Defined cases: null and empty texts match nothing; bytes that aren't UTF-8 count as U+FFFD; very long texts are as any
+other; repeated rows and null ids keep their rows; no column but the text is read, whatever the others' names; items without words are ignored; items shorter than five
 words are one shingle; a document shorter than an item is one window; equal items are all reported; of one
 item's windows the most similar counts, the earliest of equals.
 """
@@ -36,6 +39,7 @@ from pyspark.sql.types import DataType
 from .common import text_slices, worker_model
 
 SHINGLE = 5
+RADIUS = 24
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3
 _WORD_BYTE = np.zeros(256, bool)
@@ -96,12 +100,10 @@ def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _sums(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Running weighted sums of the words' hash bits as +1 and -1, from 0; (words + 1, 64)."""
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32)
-    out = np.zeros((len(hashes) + 1, 64), np.int64)
-    np.cumsum((2 * bits - 1) * weights[:, None], axis=0, out=out[1:])
-    return out
+def _bit_sums(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Weighted sums of the words' hash bits as +1 and -1; (windows, words) to (windows, 64)."""
+    bits = np.unpackbits(np.ascontiguousarray(hashes).astype("<u8").view(np.uint8).reshape(*hashes.shape, 8), axis=2, bitorder="little")
+    return 2 * np.einsum("ijk,ij->ik", bits, weights) - weights.sum(1, keepdims=True)
 
 
 def _pack(sums: np.ndarray) -> np.ndarray:
@@ -119,7 +121,7 @@ class ItemIndex:
     """Fingerprints, multi-index and shingles of a block of items: (id, lower-cased UTF-8 text)."""
 
     items: list[tuple[object, bytes]]
-    radius: int | None = None
+    radius: int = RADIUS
     threshold: float = 0.8
     ids: list = field(init=False)
 
@@ -143,9 +145,7 @@ class ItemIndex:
         self.anchor_weights = {n: np.array([self.shingle_weight[s] for s in known.tolist()], np.int64) for n, known in self.anchors.items()}
         self.shingle_totals = np.array([sum(map(self.shingle_weight.__getitem__, x.tolist())) for x in self.shingles], np.int64)
         self.names = self._names()
-        self.prints = np.array([_pack(_sums(x, self.weights(x))[-1:])[0] for x in item_words], np.uint64)
-        if self.radius is None:
-            return
+        self.prints = np.array([_pack(_bit_sums(x[None], self.weights(x)[None]))[0] for x in item_words], np.uint64)
         edges = np.linspace(0, 64, self.radius + 2).astype(int)
         self.blocks = [(np.uint64(a), np.uint64((1 << int(b - a)) - 1)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
         self.by_size = {}
@@ -225,17 +225,15 @@ class ItemIndex:
                 both = np.minimum(shared[b] - shared[a], self.shingle_totals[item])
                 bound = both / (self.shingle_totals[item] + total[starts + (width - n + 1)] - total[starts] - both)
                 some = np.flatnonzero(bound >= self.threshold)
+                some, bits = self.within(item, hashes, starts[some], width, some)
                 found = None
-                for k in some[np.argsort(-bound[some], kind="stable")]:
-                    if found and bound[k] < found[4]:
+                for k in np.argsort(-bound[some], kind="stable"):
+                    if found and bound[some[k]] < found[4]:
                         break
-                    s = int(starts[k])
+                    s = int(starts[some[k]])
                     alike = self.similarity(item, every[s : s + width - n + 1])
-                    if alike < self.threshold or (found and (-alike, s) >= (-found[4], found[1])):
-                        continue
-                    bits = self.differing(item, hashes[s : s + width])
-                    if self.radius is None or bits <= self.radius:
-                        found = (self.ids[item], s, s + width, bits, alike)
+                    if alike >= self.threshold and not (found and (-alike, s) >= (-found[4], found[1])):
+                        found = (self.ids[item], s, s + width, int(bits[k]), alike)
                 if found:
                     best[item] = found
         return [best[k] for k in sorted(best)]
@@ -252,12 +250,22 @@ class ItemIndex:
         a, b = np.searchsorted(keys, found), np.searchsorted(keys, found, "right")
         return np.unique(np.concatenate([items[x:y] for x, y in zip(a, b, strict=True)]))
 
-    def differing(self, item: int, window: np.ndarray) -> int:
-        return int(np.bitwise_count(_pack(_sums(window, self.weights(window))[-1:])[0] ^ self.prints[item]))
+    def within(self, item: int, hashes: np.ndarray, starts: np.ndarray, width: int, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of windows those whose fingerprints the multi-index finds within the radius of the item, and the differing bits."""
+        near, bits = [some[:0]], [np.zeros(0, np.int64)]
+        step = max(1, (1 << 16) // width)
+        for k in range(0, len(starts), step):
+            words = hashes[starts[k : k + step, None] + np.arange(width)]
+            prints = _pack(_bit_sums(words, self.weights(words)))
+            row, other = self.candidates(prints, int(self.lengths[item]))
+            row = row[other == item]
+            near.append(some[k + row])
+            bits.append(np.bitwise_count(prints[row] ^ self.prints[item]).astype(np.int64))
+        return np.concatenate(near), np.concatenate(bits)
 
     def find(self, texts: list[bytes]) -> list[list[tuple]]:
         """Matches of each text."""
-        hashes, at = words([t.decode("utf-8").lower().encode("utf-8") for t in texts])
+        hashes, at = words([t.decode("utf-8", "replace").lower().encode("utf-8") for t in texts])
         marks, rare = {}, {}
         for n, known in self.anchors.items():
             every = shingles(hashes, n)
@@ -275,7 +283,7 @@ class ItemIndex:
 MATCH = "array<struct<item_id:{0},start_word:bigint,end_word:bigint,bits:int,similarity:double>>"
 
 
-def matches_column(spark, items: list[tuple], item_type: DataType, text: Column, *, radius: int | None = None, threshold: float = 0.8) -> Column:
+def matches_column(spark, items: list[tuple], item_type: DataType, text: Column, *, radius: int = RADIUS, threshold: float = 0.8) -> Column:
     """All matches of a text with a bounded list of items."""
     pairs = [(i, (t or "").lower().encode("utf-8")) for i, t in items]
     kind = pa.list_(pa.struct([("item_id", to_arrow_type(item_type)), ("start_word", pa.int64()), ("end_word", pa.int64()), ("bits", pa.int32()), ("similarity", pa.float64())]))
@@ -305,7 +313,7 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, *, max_bytes:
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
-    into: str = "matches", radius: int | None = None, threshold: float = 0.8, max_bytes: int = 16 << 20,
+    into: str = "matches", radius: int = RADIUS, threshold: float = 0.8, max_bytes: int = 16 << 20,
 ) -> DataFrame:
     """``docs`` with a column of the benchmark items each text holds (replaced if there is one of that name)."""
     item_type = benchmark.schema[item_id].dataType

@@ -166,6 +166,16 @@ def test_leaks_equal_all_windows(spark):
     assert leaks(spark, docs, texts, radius=10).keys() < got.keys()
 
 
+def test_leaks_of_odd_rows(odd, empty, spark):
+    items = odd.sparkSession.createDataFrame([(k, r.text) for k, r in enumerate(odd.collect()) if r.doc_id in (0, 3, None)], "item_id bigint, text string")
+    got = decontam.find_leaks(odd, items, into="_leaks").collect()
+    assert len(got) == odd.count() and all(r._row == "x-_row" for r in got)
+    assert {r.doc_id for r in got if r._leaks} >= {0, 3, None} and not [r for r in got if r.doc_id in (100, 101, 102, 104) and r._leaks]
+    assert decontam.find_leaks(empty, items, into="m").count() == 0
+    plan = decontam.find_leaks(odd, items, into="m").filter(F.size("m") > 0)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1  # each text is searched once
+
+
 def test_multi_index_gives_every_item_within_the_radius():
     rng = np.random.default_rng(3)
     items = [(k, " ".join(map(str, rng.integers(0, 50, 12))).encode()) for k in range(200)]
