@@ -105,6 +105,60 @@ def test_a_dense_cloud_and_a_chain(spark):
     assert links.count() < 20 * len(values)  # no square of the cloud
 
 
+def brute_groups(rows, t=0.8):
+    """Rows that stay: of each component of texts with 5-word shingle sets of Jaccard t or more, the first by id, null last."""
+    sets = [frozenset(simhash.shingle_hashes((r[1] or "").encode(), 5).tolist()) for r in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= t * len(sets[i] | sets[j]) - 1e-9:
+                root[find(i)] = find(j)
+    stay = {}
+    for i in sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0)):
+        stay.setdefault(find(i), rows[i][0])
+    return sorted((v is None, v or 0) for v in stay.values())
+
+
+@pytest.mark.parametrize("small", [2, 32])
+def test_near_copies_equal_all_pairs(spark, odd, odd_rows, empty, small):
+    rng = random.Random(12)
+    base = [[f"{rng.choice('bcdfg')}{rng.randrange(3000)}" for _ in range(300)] for _ in range(6)]
+    rows = [(k, " ".join(b), "en", "s", 1) for k, b in enumerate(base)]
+    for k in range(60):  # families of edited copies, at a similarity of 0.85 and more, and others that are far
+        words = list(rng.choice(base[:3]))
+        for _ in range(rng.choice([1, 2, 3, 80])):
+            words[rng.randrange(300)] = f"own{rng.randrange(10**6)}"
+        rows.append((100 + k, " ".join(words), "en", "s", 1))
+    kept = simhash.drop_near_copies(spark.createDataFrame(rows, SCHEMA), small=small)
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == brute_groups(rows)
+    kept = simhash.drop_near_copies(odd, small=small)
+    assert kept.columns == odd.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == brute_groups(odd_rows)
+    assert simhash.drop_near_copies(empty).count() == 0
+
+
+def test_no_close_pair_of_a_key_is_lost():
+    rng = np.random.default_rng(4)
+    prints = rng.integers(0, 1 << 63, (40, 2), dtype=np.uint64)
+    prints[10:] = prints[rng.integers(0, 3, 30)] ^ (np.uint64(1) << rng.integers(0, 64, (30, 2)).astype(np.uint64))
+    far = np.bitwise_count(prints[:, None] ^ prints[None]).sum(2)
+    want = {(i, j) for i in range(40) for j in range(i) if far[i, j] <= 31}
+    every = lambda root, small: simhash.close_pairs(prints, root, 31, small)
+    pairs, forest = every(np.arange(40), 100)
+    assert not forest and {(max(p), min(p)) for p in pairs.tolist()} == want
+    pairs, forest = every(np.arange(40), 8)
+    assert forest and {(max(p), min(p)) for p in pairs.tolist()} <= want and len(pairs) < 40
+    root = rng.integers(0, 5, 40)
+    pairs, forest = every(root, 8)
+    assert not forest and {(max(p), min(p)) for p in pairs.tolist()} == {(i, j) for i, j in want if root[i] != root[j]}
+
+
 def leaks(spark, docs, items, **kw):
     d = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(docs)], SCHEMA)
     b = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
