@@ -17,7 +17,7 @@ from meterlake.llm.langid import UNDETERMINED, identify
 from meterlake.llm.linededup import dedup_lines
 from meterlake.llm.packing import Capacity, pack_documents
 from meterlake.llm.queries import tokenizer_path
-from meterlake.llm.simhash import drop_near_duplicates
+from meterlake.llm.simhash import drop_near_copies
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +34,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that with the smallest id."""
-    return drop_near_duplicates(docs)
+    """One document of each group stays, that with the smallest id (null last): documents whose sets of five-word shingles
+    have a Jaccard similarity of 0.8 or more. Texts without words are one group."""
+    return drop_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
