@@ -322,10 +322,20 @@ def _candidates(keyed: DataFrame, radius: int, small: int) -> DataFrame:
             yield from groups(held)
 
     def groups(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        starts = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])) if len(rows) else []
-        pairs, later, ends = [], [], np.append(starts[1:], len(rows))
-        for a, b in zip(np.asarray(starts)[ends - starts > 1] if len(rows) else (), ends[ends - starts > 1] if len(rows) else (), strict=True):
-            group = rows[a:b]
+        if not len(rows):
+            return
+        key, print_, root = rows[:, 0], rows[:, 1:3].view(np.uint64), rows[:, 3]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(starts, len(rows)))
+        size, pairs, later = np.repeat(sizes, sizes), [], []
+        few = min(small, 64)  # groups up to this size at once: each row with the one d rows on
+        for d in range(1, few):
+            x = np.flatnonzero((size[:-d] > d) & (size[:-d] <= few) & (key[:-d] == key[d:]) & (root[:-d] != root[d:])) if len(rows) > d else []
+            x = x[_far(print_[x], print_[x + d]) <= radius] if len(x) else []
+            if len(x):
+                pairs.append(np.concatenate([rows[x, 1:3], rows[x + d, 1:3]], axis=1))
+        for a, n in zip(starts[sizes > few], sizes[sizes > few], strict=True):
+            group = rows[a : a + n]
             found, forest = close_pairs(group[:, 1:3].view(np.uint64), group[:, 3], radius, small)
             pairs.append(np.concatenate([group[found[:, 0], 1:3], group[found[:, 1], 1:3]], axis=1))
             if forest and len(found):
