@@ -10,17 +10,14 @@ from pyspark.sql import functions as F
 from .common import fold
 
 TOKENIZER = "word_bpe_49k.json"
-VOCABULARY = 65_535
 
-OP6_SQL = f"""
+OP6_SQL = """
 WITH doc AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^ \\t\\n\\x0B\\f\\r]+') AS ws FROM documents),
 tok AS (SELECT r, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM doc),
 uni AS (SELECT w, count(*) AS n FROM tok GROUP BY w),
-voc AS (SELECT w FROM uni ORDER BY n DESC, w LIMIT {VOCABULARY}),
-ided AS (SELECT r, i, coalesce(voc.w, '') AS w FROM tok LEFT JOIN voc ON tok.w = voc.w),
-c1 AS (SELECT w, count(*) AS n FROM ided GROUP BY w),
-tot AS (SELECT count(*) AS n FROM ided),
-bi AS (SELECT a.r, a.w AS v, b.w AS u FROM ided a LEFT JOIN ided b ON b.r = a.r AND b.i = a.i - 1),
+c1 AS (SELECT * FROM uni),
+tot AS (SELECT count(*) AS n FROM tok),
+bi AS (SELECT a.r, a.w AS v, b.w AS u FROM tok a LEFT JOIN tok b ON b.r = a.r AND b.i = a.i - 1),
 c2 AS (SELECT u, v, count(*) AS n FROM bi WHERE u IS NOT NULL GROUP BY u, v),
 part AS (SELECT bi.r, CASE WHEN bi.u IS NULL THEN ln(v1.n) - ln(tot.n) WHEN c2.n >= 2 THEN ln(c2.n) - ln(u1.n)
     ELSE ln(0.4) + ln(v1.n) - ln(tot.n) END AS s, CASE WHEN bi.u IS NOT NULL AND c2.n < 2 THEN 1 ELSE 0 END AS back
@@ -89,7 +86,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lmscore import backoff_scores
 
-    rows = backoff_scores(documents(spark, sf_dir), vocabulary=VOCABULARY)
+    rows = backoff_scores(documents(spark, sf_dir))
     return rows.select("doc_id", "n_tokens", "n_backoff", F.round("score", 4).alias("score"))
 
 
