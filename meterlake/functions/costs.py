@@ -50,14 +50,24 @@ def rate_card(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(RATES), RATE_SCHEMA)
 
 
+def fixed_rate(model: Column) -> Column:
+    """The struct of the rate card's longest prefix of ``model``, null if there is none: one expression, no join."""
+    names = [c.split()[0] for c in RATE_SCHEMA.split(", ")][1:]
+    found = F
+    for prefix, *rates in sorted(RATES, key=lambda r: -len(r[0])):
+        found = found.when(model.startswith(prefix), F.struct(*(F.lit(float(x)).alias(c) for c, x in zip(names, rates, strict=True))))
+    return found
+
+
 def with_rates(events: DataFrame, rates: DataFrame | None = None) -> DataFrame:
     """Adds a struct ``rate`` (null if none applies): that of the longest prefix of ``model``.
 
-    Rates are matched with the different models, then joined to the events by equality.
+    Rates other than the fixed ones are matched with the different models, then joined to the events by equality.
     """
-    rates = rate_card(events.sparkSession) if rates is None else rates
+    if rates is None:
+        return events.withColumn("rate", fixed_rate(F.col("model")))
     models = events.select("model").distinct()
-    found = models.join(F.broadcast(rates), F.startswith("model", "prefix")).groupBy("model").agg(  # a fixed table
+    found = models.join(F.broadcast(rates), F.startswith("model", "prefix")).groupBy("model").agg(  # a rate card is short
         F.max_by(F.struct(*[c for c in rates.columns if c != "prefix"]), F.length("prefix")).alias("rate")
     )
     return events.join(found, "model", "left")
