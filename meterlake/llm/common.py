@@ -49,6 +49,11 @@ def remove(spark: SparkSession, place: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def valid_text(text: Column) -> Column:
+    """The text with every malformed part of its UTF-8 replaced by U+FFFD."""
+    return F.make_valid_utf8(text.cast("string"))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """The name, with underscores behind it until no column of the frame has it."""
     taken = {c.lower() for c in df.columns}

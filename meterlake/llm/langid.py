@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import padded, text_slices, unit_hash, worker_model
+from .common import padded, text_slices, unit_hash, valid_text, worker_model
 
 UNDETERMINED = "und"
 
@@ -38,7 +38,7 @@ def training_sample(rows: DataFrame, label: str, text: str, *, max_rows: int, ma
     A first pass counts rows a label; the second keeps about as many as are wanted by that hash alone, so
     that only these are shuffled, whatever the size of the table or of its largest label.
     """
-    usable = rows.select(F.col(label).alias("_label"), F.col(text).alias("_text")).filter(
+    usable = rows.select(F.col(label).alias("_label"), valid_text(F.col(text)).alias("_text")).filter(
         F.col("_label").isNotNull() & (F.length("_text") > 0)
     )
     chance = F.least(F.lit(1.0), F.lit(1.5 * max_rows) / F.col("_n"))

@@ -5,7 +5,7 @@ a row) into a folder, with an index of member offsets beside it. ``MediaArchive`
 ``media_archive``) plans byte ranges over a folder of such archives, reads a range's members one by one,
 streams them as Arrow batches, and tries a failed member again at its offset without starting over.
 
-Defined cases: null text is the empty text (one row of blanks); null ids become null again; repeated rows
+Defined cases: what isn't UTF-8 counts as U+FFFD; null text is the empty text (one row of blanks); null ids become null again; repeated rows
 are members of their own; an empty table makes no archive and an empty result; a member that stays
 unreadable comes out with its error and null bytes, or raises if ``mode`` is ``failfast``.
 """
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import shared_dir
+from .common import shared_dir, valid_text
 
 ROW_BYTES = 192
 PNG_SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -114,7 +114,7 @@ def write_archives(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text
             store.move(temp, f"{top}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
 
-    kept = docs.select(F.col(id_col).cast("string"), F.col(text_col).cast("string"))
+    kept = docs.select(F.col(id_col).cast("string"), valid_text(F.col(text_col)))
     return sorted(r.name for r in kept.mapInArrow(run, "name string").collect())  # one short row a partition
 
 

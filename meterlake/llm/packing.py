@@ -8,7 +8,7 @@ to the open bin that keeps every capacity and is best by weighted dot product or
 A task packs the pieces it has tokenized in blocks of bounded size, so nothing is shuffled, no key can be
 hot, and memory is bounded by ``block_tokens``; the price is at most a few part-filled sequences a block.
 
-Defined cases: null text is the empty text (one piece, the end id alone); repeated rows are packed as
+Defined cases: what isn't UTF-8 counts as U+FFFD; null text is the empty text (one piece, the end id alone); repeated rows are packed as
 often as they come; an empty table gives an empty result; other columns of the input are ignored.
 """
 
@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_model
+from .common import valid_text, worker_model
 
 
 @dataclass(frozen=True)
@@ -131,7 +131,7 @@ def pack_documents(
 
     ``token_ids`` are little-endian uint32. Sequence ids are unique over the result.
     """
-    kept = docs.select(F.col(id_col), F.col(text_col).cast("string"))
+    kept = docs.select(F.col(id_col), valid_text(F.col(text_col)).alias(text_col))
     id_type = kept.schema[0].dataType.simpleString()
     schema = f"`{id_col}` {id_type}, piece int, start bigint, length bigint, token_ids binary, sequence_id bigint, offset bigint"
     most = capacity.tokens

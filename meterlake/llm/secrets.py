@@ -10,7 +10,7 @@ length-prefixed fields that fill the blob and start with a known key type, or an
 
 Spans are code points, end exclusive. Confirmed spans are added; they never change base spans.
 
-Defined cases: null or empty text has no spans; matches of a kind never overlap; ties are ordered by start,
+Defined cases: what isn't UTF-8 counts as U+FFFD; null or empty text has no spans; matches of a kind never overlap; ties are ordered by start,
 then by kind as listed in ``KINDS``.
 """
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import text_slices, valid_text
 
 KINDS = ("assign", "access", "hex", "jwt", "der", "ssh")
 BASE = KINDS[:3]
@@ -226,4 +226,4 @@ def secret_spans(text: Column) -> Column:
             columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds.values())]
             yield pa.StructArray.from_arrays(columns, names=list(kinds))
 
-    return scan(text)
+    return scan(valid_text(text))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices, unit_hash
+from .common import text_slices, unit_hash, valid_text
 
 
 @dataclass(frozen=True)
@@ -92,7 +92,8 @@ def train(
         return fit([], np.zeros(0), 0.5, features)
     chance = F.when(F.col("_label") == 1, F.lit(max_rows / counts.get(1, 1))).otherwise(F.lit(max_rows / counts.get(0, 1)))
     some = known.filter(unit_hash(F.col(id_col), F.lit(23)) < chance)  # about 2 * max_rows rows
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("_text")).join(F.broadcast(some), id_col)
+    rows = docs.select(F.col(id_col), valid_text(F.col(text_col)).alias("_text")).join(F.broadcast(some), id_col)
+    rows = rows.groupBy(*some.columns).agg(F.min("_text").alias("_text"))  # one row an id, however often it is repeated
     prior = counts.get(1, 0) / sum(counts.values())
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
