@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ _QUOTED = r"""'([^']*)(?:'|$)|"([^"]*)(?:"|$)"""
 _ASSIGNED = r"^[A-Za-z_][A-Za-z0-9_]*="
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)``, with the value computed once: inside a lambda Spark shares no common parts of an expression."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _trim(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
@@ -30,9 +37,13 @@ def tokenize(segment: Column) -> Column:
 
 def normalize(segment: Column) -> Column:
     """The words without leading ``rtk`` and NAME=value words, joined by single blanks."""
-    words = tokenize(segment)
-    first = F.array_position(F.transform(words, lambda x: (x == "rtk") | x.rlike(_ASSIGNED)), False)
-    return F.when(segment.isNotNull(), F.when(first > 0, F.array_join(F.slice(words, first.cast("int"), F.size(words)), " ")).otherwise(""))
+
+    def joined(words: Column) -> Column:
+        first = F.array_position(F.transform(words, lambda x: (x == "rtk") | x.rlike(_ASSIGNED)), False)
+        rest = _once(first, lambda n: F.when(n > 0, F.slice(words, n.cast("int"), F.size(words))))
+        return F.when(words.isNotNull(), F.coalesce(F.array_join(rest, " "), F.lit("")))
+
+    return _once(tokenize(segment), joined)
 
 
 def head(segment: Column) -> Column:

@@ -218,10 +218,22 @@ def plan_windows(merged: DataFrame, f: Filter, as_of: str, *, limits: tuple[int,
 
 
 def rolling_usage(events: DataFrame, span_s: int) -> DataFrame:
-    """Each event with the tokens of its session's source in the span up to it, both ends included."""
-    w = Window.partitionBy("source").orderBy("ts_epoch").rangeBetween(-span_s, 0)
+    """Each event with the tokens of its session's source in the span up to it, both ends included.
+
+    A running sum within buckets of the span's length: tokens come in at their second, are carried into the next bucket at
+    its start and go out of it a second after their span. A bucket has at most two rows a second of its span, whatever the
+    rate of events; tokens are added up by second before the shuffle.
+    """
     timed = events.withColumn("ts_epoch", epoch(F.col("ts"))).filter("ts_epoch IS NOT NULL")
-    return timed.withColumn("rolling_tokens", F.sum(total_tokens()).over(w))
+    bucket, used, e = F.floor(F.col("ts_epoch") / span_s), F.col("used"), F.col("ts_epoch")
+    seconds = timed.groupBy("source", "ts_epoch").agg(F.sum(total_tokens()).alias("used"))
+    step = lambda b, at, n, own: F.struct(b.alias("b"), at.alias("at"), n.alias("n"), F.lit(own).alias("own"))
+    after = bucket + 1
+    steps = seconds.select("source", F.inline(F.array(step(bucket, e, used, True), step(after, after * span_s, used, False), step(after, e + span_s + 1, -used, False))))
+    steps = steps.groupBy("source", "b", "at").agg(F.sum("n").alias("n"), F.max("own").alias("own"))
+    total = F.sum("n").over(Window.partitionBy("source", "b").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    rolling = steps.withColumn("rolling_tokens", total).filter("own").select(F.col("source").alias("_source"), F.col("at").alias("_at"), "rolling_tokens")
+    return timed.join(rolling, F.col("source").eqNullSafe(F.col("_source")) & (e == F.col("_at"))).drop("_source", "_at")
 
 
 def savings_window(merged: DataFrame, savings: DataFrame, f: Filter) -> DataFrame:

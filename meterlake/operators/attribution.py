@@ -2,52 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import epoch
 
 
+def _around(rows: DataFrame, seconds: DataFrame, keys: list[str], window_s: int, *aggs: Column) -> DataFrame:
+    """``aggs`` over the event seconds within the window of each different (keys, second) of the rows.
+
+    Both sides have at most one row a key and second, so a row meets at most 3 * window_s of them, whatever the rate of
+    events. The range join is an equality on time buckets of the window's length, the rows' side in three of them.
+    """
+    asked = rows.select(*keys, "_e").distinct().withColumn("_b", F.explode(F.array(*[F.floor(F.col("_e") / window_s) + k for k in (-1, 0, 1)])))
+    near = asked.join(seconds.withColumn("_b", F.floor(F.col("t_e") / window_s)), [*keys, "_b"]).filter(_gap() <= window_s)
+    return near.groupBy(*keys, "_e").agg(*aggs)
+
+
+def _gap() -> Column:
+    return F.abs(F.col("t_e") - F.col("_e"))
+
+
 def attribute(savings: DataFrame, bash_events: DataFrame, window_s: int = 120) -> DataFrame:
     """``savings`` with (source, session_id, tool_event_id, match_kind).
 
     Candidates are Bash events within the window, both ends included. First come events that ran the very command
     (``text``), then events with the same head if they are all of one session, then any if they are all of one session
     whose first event is of the row's project (both ``window``); within each, the nearest event, then the smallest id.
-    The range join is an equality on time buckets of the window's length, the row's side in three of them.
+    Each of the three is looked up by its own key among events aggregated by second: a window has one session if the
+    least and the greatest one are equal.
     """
     left = savings.withColumn("_e", epoch(F.col("ts")))
-    rows = left.select("rtk_row_id", "cmd_hash", "head_hash", "project_path", "_e")
-    rows = rows.withColumn("_b", F.explode(F.array(*[F.floor(F.col("_e") / window_s) + k for k in (-1, 0, 1)])))
-    e = epoch(F.col("ts"))
     events = bash_events.select(
-        F.floor(e / window_s).alias("_b"), e.alias("t_e"), F.col("id").alias("t_id"), F.col("source").alias("t_source"),
-        F.col("session_id").alias("t_session"), F.col("project").alias("t_project"), "head_hashes", "chain_hashes",
+        epoch(F.col("ts")).alias("t_e"), F.struct(F.col("id").alias("tool_event_id"), "source", "session_id").alias("who"),
+        F.struct("source", "session_id").alias("session"), "project", "head_hashes", "chain_hashes",
     )
-    gap = F.abs(F.col("t_e") - F.col("_e"))
-    near = rows.join(events, "_b").filter(gap <= window_s)
-    who = F.struct(F.col("t_source").alias("source"), F.col("t_session").alias("session_id"), F.col("t_id").alias("tool_event_id"))
-    order = F.struct(gap.alias("gap"), F.col("t_id").alias("id"))
-    text = F.array_contains("chain_hashes", F.col("cmd_hash"))
-    same_head = F.array_contains("head_hashes", F.col("head_hash"))
-    session = F.struct("t_source", "t_session")
-    best = near.groupBy("rtk_row_id").agg(
-        F.min_by(F.when(text, who), F.when(text, order)).alias("_text"),
-        F.count_distinct(F.when(same_head, session)).alias("_heads"),
-        F.min_by(F.when(same_head, who), F.when(same_head, order)).alias("_head"),
-        F.count_distinct(session).alias("_sessions"),
-        F.min_by(who, order).alias("_any"),
-        F.min_by("t_project", F.struct("t_e", "t_id")).alias("_first_project"),
-    )
-    found = left.select(*savings.columns).drop("source", "session_id", "tool_event_id", "match_kind").join(best, "rtk_row_id", "left")
-    by_window = F.when(F.col("_heads") == 1, F.col("_head")).when(
-        (F.col("_sessions") == 1) & (F.col("_first_project") == F.col("project_path")), F.col("_any")
-    )
-    match = F.when(F.col("_text").isNotNull(), F.col("_text")).otherwise(by_window)
+    first, least, most = F.min("who").alias("who"), F.min("session").alias("least"), F.max("session").alias("most")
+    nearest = F.min(F.struct(_gap().alias("gap"), "who"))["who"]
+    alone = F.min("least") == F.max("most")
+
+    # The outer form gives empty lists a null key, which no row meets, and isn't turned into a filter that computes the list again.
+    by_text = events.select("t_e", "who", F.explode_outer(F.array_distinct("chain_hashes")).alias("cmd_hash")).groupBy("cmd_hash", "t_e").agg(first)
+    text = _around(left, by_text, ["cmd_hash"], window_s, nearest.alias("_text"))
+    by_head = events.select("t_e", "who", "session", F.explode_outer(F.array_distinct("head_hashes")).alias("head_hash"))
+    by_head = by_head.groupBy("head_hash", "t_e").agg(first, least, most)
+    head = _around(left, by_head, ["head_hash"], window_s, F.when(alone, nearest).alias("_head"))
+    by_second = events.groupBy("t_e").agg(first, least, most, F.min_by("project", "who").alias("project"))
+    every = _around(left, by_second, [], window_s, F.when(alone, nearest).alias("_any"), F.min_by("project", "t_e").alias("_first_project"))
+
+    found = left.select(*savings.columns, "_e").drop("source", "session_id", "tool_event_id", "match_kind")
+    found = found.join(text, ["cmd_hash", "_e"], "left").join(head, ["head_hash", "_e"], "left").join(every, "_e", "left")
+    by_window = F.coalesce("_head", F.when(F.col("_first_project") == F.col("project_path"), F.col("_any")))
+    match = F.coalesce("_text", by_window)
     kind = F.when(F.col("_text").isNotNull(), "text").when(by_window.isNotNull(), "window").otherwise("none")
+    kept = [c for c in savings.columns if c in found.columns]
     return found.withColumns({"_m": match, "match_kind": kind}).select(
-        "*", F.col("_m.source").alias("source"), F.col("_m.session_id").alias("session_id"), F.col("_m.tool_event_id").alias("tool_event_id")
-    ).drop("_m", "_text", "_heads", "_head", "_sessions", "_any", "_first_project")
+        *kept, "match_kind", F.col("_m.source").alias("source"), F.col("_m.session_id").alias("session_id"), F.col("_m.tool_event_id").alias("tool_event_id")
+    )
 
 
 def retry_candidates(savings: DataFrame, watermark: int, as_of_epoch: int, hours: int = 48) -> DataFrame:
