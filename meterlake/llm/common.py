@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -80,10 +82,20 @@ def worker_model(key: object, build: Callable[[], object]) -> object:
     pipeline's stages don't add up in its memory."""
     if key not in _MODEL:
         _MODEL.clear()
+        release()
         _MODEL[key] = build()
     return _MODEL[key]
 
 
+def release() -> None:
+    """Gives freed memory back to the system: an idle worker keeps its process, beside the stages that don't need it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def text_slices(texts: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, UTF-8 texts) of slices of at most ``max_bytes`` or one text; null is an empty text."""
     rows, total, first = [], 0, 0

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import padded, text_slices, unit_hash, valid_text, worker_model
+from .common import padded, release, text_slices, unit_hash, valid_text, worker_model
 
 UNDETERMINED = "und"
 
@@ -81,7 +81,9 @@ class ContextTree:
             ids = first[k] + np.arange(len(contexts[k]))
             parent[ids] = first[k - 1] + np.searchsorted(contexts[k - 1], contexts[k] & ((1 << (8 * (k - 1))) - 1))
             self.child[parent[ids], contexts[k] >> (8 * (k - 1))] = ids
-        self.bits = np.stack([self._bits(counts[lang], contexts, first, parent) for lang in self.languages])
+        self.bits = np.empty((len(self.languages), n + 1, 256), np.float32)
+        for own, lang in zip(self.bits, self.languages, strict=True):
+            own[:] = self._bits(counts[lang], contexts, first, parent)
 
     @staticmethod
     def _contexts(counts: dict[str, list], max_contexts: int) -> list[np.ndarray]:
@@ -179,7 +181,7 @@ def language_of(spark, model: bytes, text: Column, *, max_contexts: int = 12_288
         tree = worker_model(key, build)
         for texts in batches:
             langs, scores, rates = [], [], []
-            for _, block in text_slices(texts):
+            for _, block in text_slices(texts, 1 << 19):  # a byte takes about 60 of temporary arrays
                 bits = tree.code_lengths(block) if tree else np.zeros((len(block), 1))
                 best = bits.argmin(1)
                 less = bits - bits.min(1, keepdims=True)
@@ -188,6 +190,7 @@ def language_of(spark, model: bytes, text: Column, *, max_contexts: int = 12_288
                 rates.append(bits.min(1) / np.maximum([len(b) for b in block], 1))
             columns = [pa.array(langs, pa.string()), *(pa.array(np.concatenate([np.zeros(0), *x])) for x in (scores, rates))]
             yield pa.StructArray.from_arrays(columns, names=["lang", "score", "bits_per_byte"])
+        release()
 
     found = predict.asNondeterministic()(text)  # else Spark may copy the call into filters and score each text twice
     letters = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))

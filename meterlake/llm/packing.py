@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import valid_text, worker_model
+from .common import release, valid_text, worker_model
 
 
 @dataclass(frozen=True)
@@ -171,5 +171,6 @@ def pack_documents(
                         yield from flush()
         if held:
             yield from flush()
+        release()
 
     return kept.mapInArrow(run, schema)

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, text_slices
+from .common import cut, free_name, release, text_slices
 
 RADIUS = 4
 SEED = 42
@@ -373,6 +373,7 @@ def drop_near_copies(
                     found.append((*two_prints(hashes), xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63)))
             one, two, exact = np.array(found, np.int64).reshape(-1, 3).T
             yield pa.StructArray.from_arrays([pa.array(one), pa.array(two), pa.array(exact)], names=["one", "two", "exact"])
+        release()
 
     @F.arrow_udf("array<bigint>")
     def shingle_set(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
