@@ -27,6 +27,39 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_tokens, CAST(coalesce(back, 0) AS BI
 FROM doc LEFT JOIN per ON per.r = doc.r
 """
 
+OP11_SQL = r"""
+WITH doc AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+tok AS (SELECT r, lang, source, unnest(ws) AS term FROM doc),
+grp AS (SELECT DISTINCT lang, source FROM doc),
+kept AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS n FROM tok GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+cnt AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM tok SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+tot AS (SELECT lang, source, sum(n) AS total FROM cnt GROUP BY lang, source),
+p AS (SELECT lang, source, term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (coalesce(t.total, 0) + 2 * l.v) AS p,
+    1 + (1000000000 * (k.n + 2)) // (l.total + 2 * l.v) AS q
+  FROM grp JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN tot t USING (lang, source) LEFT JOIN cnt c USING (lang, source, term)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY a.lang, a.source, b.source),
+every AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(value, 0) AS value
+    FROM grp g JOIN grp h ON h.lang = g.lang AND h.source <> g.source LEFT JOIN pairs ON pairs.lang = g.lang AND pairs.source = g.source AND pairs.item = h.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank
+FROM every QUALIFY part = 'pair' OR rank <= 10
+"""
+
+OP12_SQL = """
+WITH every AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.r AS ar, a.vec_id AS anchor_id, a.label AS anchor_label, b.r, b.vec_id, b.label, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM every a JOIN every b ON b.r <> a.r WHERE a.vec_id % 100 = 0),
+pos AS (SELECT ar, anchor_id, r AS pr, vec_id AS positive_id, score AS positive_score FROM scored WHERE label = anchor_label
+  QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id, r) <= 5)
+SELECT pos.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY pos.ar, pr ORDER BY score DESC, vec_id, r) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN scored s ON s.ar = pos.ar AND label <> anchor_label AND 80 * positive_score <= 100 * score AND score <= positive_score QUALIFY rank <= 5
+"""
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -135,9 +168,35 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import divergence
+
+    return divergence(documents(spark, sf_dir), min_docs=10, top=10)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hardneg import hard_negatives
+
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    vec, label = F.col("vec_id"), F.col("label").cast("bigint")
+    moved = rows.withColumn("label", F.when(vec % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives(moved, vec % 100 == 0, scale=256.0, positives=5, negatives=5, floor=(4, 5))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit_to_ids, judge
+
+    docs = documents(spark, sf_dir)
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select("doc_id")
+    found = judge(docs.select("doc_id", "text"), fit_to_ids(docs, good), into="_q")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+    return found.select("doc_id", *(F.col(f"_q.{c}").alias(c) for c in names))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_line_dedup, op3_packing, op4_decontamination, op5_sharding, op6_lm_score, op7_toxicity, op8_secrets, op9_media, op10_simhash)}
+    return {f.__name__: f for f in (op1_language, op2_line_dedup, op3_packing, op4_decontamination, op5_sharding, op6_lm_score, op7_toxicity, op8_secrets, op9_media, op10_simhash,
+                                      op11_divergence, op12_hard_negatives, op13_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_lm_score": OP6_SQL}
+    return {"op6_lm_score": OP6_SQL, "op11_divergence": OP11_SQL, "op12_hard_negatives": OP12_SQL}
