@@ -94,7 +94,11 @@ def keep_after_replay(candidates: DataFrame) -> DataFrame:
 def usage_events(records: DataFrame) -> DataFrame:
     """Usage events of records with (file, line_no, kind, meta_session, cwd, version, replay_suspect, model, outcome, ts, input,
     cached, output, reasoning, cumulative). Input excludes cached tokens; the key is session and cumulative total."""
-    kept = keep_after_replay(with_state(records).filter("outcome = 'ok'"))
+    return event_columns(keep_after_replay(with_state(records).filter("outcome = 'ok'")))
+
+
+def event_columns(kept: DataFrame) -> DataFrame:
+    """Usage events of counted records with their session, model, folder and version."""
     zero = F.lit(0).cast("bigint")
     return kept.select(
         "file", "line_no", F.lit(SOURCE).alias("source"), F.col("session_id").alias("message_id"), F.col("cumulative").cast("string").alias("request_id"), "session_id", "ts", "model",
