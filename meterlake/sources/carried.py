@@ -116,3 +116,10 @@ def usage_events(records: DataFrame, state: DataFrame | None = None) -> tuple[Da
     latest = whole.join(segments, ["file", "segment"], "left").join(waits, ["file", "segment"], "left")
     left = latest.select("file", "segment", *_CARRIED, "replay", F.col("last").alias("last_second"), "held")
     return event_columns(out), left
+
+
+def skipped(records: DataFrame, state: DataFrame | None = None) -> int:
+    """Lines that should have counted but can't be read, or have no session above them."""
+    state = state if state is not None else records.sparkSession.createDataFrame([], STATE)
+    at, _ = _with_state(records.withColumn("piece", F.col("piece").cast("bigint")), state)
+    return at.agg(F.count_if((F.col("outcome") == "skip") | ((F.col("outcome") == "ok") & F.col("session_id").isNull()))).first()[0]

@@ -1,106 +1,45 @@
-"""Ledger snapshots that grow by micro-batches; every step is idempotent, so a batch that runs again changes nothing.
-
-A snapshot is a folder of Parquet versions and a small pointer file that names the current one. A new version is written
-beside the old and the pointer is replaced by rename, so readers see one or the other.
-"""
+"""Transcripts followed by micro-batches into the ``usage`` table of a store; a batch that runs again changes nothing."""
 
 from __future__ import annotations
 
-import json
-import uuid
-
-from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.dedup import USAGE_KEY, keep_highest
-from ..operators.tools import CALL
-from ..plans.schema import total_tokens
+from ..operators.dedup import USAGE_KEY
 from ..sources.lines import AgentLines
-from ..sources.transcripts import tool_results, tool_uses, usage_events
-
-
-class Snapshot:
-    """The current version of a table in a shared folder."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-        self.store, self.top = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), self.folder)
-
-    def state(self) -> dict:
-        if self.store.get_file_info(f"{self.top}/current.json").type == pafs.FileType.NotFound:
-            return {}
-        with self.store.open_input_stream(f"{self.top}/current.json") as f:
-            return json.loads(f.read())
+from ..sources.transcripts import usage_events
+from .scan import merge_usage, numbered
+from .store import Store
 
-    def read(self) -> DataFrame | None:
-        version = self.state().get("version")
-        return version and self.spark.read.parquet(f"{self.folder}/{version}")
+#: Lines of the stream are numbered in their file; so many are one part of it.
+_PART = 1 << 20
 
-    def replace(self, df: DataFrame, **state: object) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.folder}/{version}")
-        temp = f"{self.top}/_{version}.json"
-        with self.store.open_output_stream(temp) as f:
-            f.write(json.dumps({"version": version, **state}).encode())
-        self.store.move(temp, f"{self.top}/current.json")
 
-
-def merge_usage(old: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """The snapshot with a batch of events: keys keep their highest version; ``ingest_seq`` goes on from the snapshot's."""
-    if old is None:
-        return keep_highest(batch).withColumn("ingest_seq", F.col("id"))
-    first = old.agg(F.coalesce(F.max("ingest_seq"), F.lit(-1)) + 1).first()[0]
-    new = batch.withColumn("ingest_seq", F.col("ingest_seq") + first)
-    known = old.withColumn("ingest_seq", F.col("id")).drop("id")
-    dirty = old.select(*USAGE_KEY, F.col("dirty").alias("_dirty"))
-    kept = keep_highest(known.drop("dirty").unionByName(new, allowMissingColumns=True))
-    joined = kept.join(dirty, list(USAGE_KEY), "left").withColumn("dirty", F.col("dirty") | F.coalesce("_dirty", F.lit(False))).drop("_dirty")
-    return joined.withColumn("ingest_seq", F.col("id"))
-
-
-def numbered(events: DataFrame) -> DataFrame:
-    """Adds ``ingest_seq``: 0, 1, ... by file and line; numbers are dealt by file, so one file is one window."""
-    sizes = events.groupBy("path").agg(F.count("*").alias("_n"))
-    first = sizes.withColumn("_first", F.sum("_n").over(Window.orderBy("path")) - F.col("_n")).drop("_n")
-    at = F.row_number().over(Window.partitionBy("path").orderBy("line_no", *(["block_no"] if "block_no" in events.columns else [])))
-    return events.join(first, "path").withColumn("ingest_seq", F.col("_first") + at - 1).drop("_first")
-
-
-def ingest_transcripts(spark: SparkSession, roots: str, folder: str, checkpoint: str, *, every: str | None = None) -> StreamingQuery:
-    """Follows transcript files below the roots and keeps the usage snapshot in ``folder``. Without ``every`` it takes what is
-    there and ends."""
+def ingest_transcripts(spark: SparkSession, roots: str, folder: str, checkpoint: str, *, every: str | None = None, buckets: int = 64) -> StreamingQuery:
+    """Follows transcript files below the roots. Without ``every`` it takes what is there and ends. A batch rewrites the buckets of
+    ``usage`` that its events touch; its number is part of the commit."""
     spark.dataSource.register(AgentLines)
-    usage = Snapshot(spark, folder)
+    writer = Store(spark, folder).writer()
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        if usage.state().get("batch", -1) >= batch_id:
+        change = writer.start()
+        if change.state.get("batch", -1) >= batch_id:
             return
-        found = numbered(usage_events(batch).filter("outcome = 'event'")).drop("outcome", "path", "line_no")
-        usage.replace(merge_usage(usage.read(), found), batch=batch_id)
+        first = int(change.state.get("next_id", 0))
+        found = usage_events(batch).filter("outcome = 'event'").drop("outcome").persist()
+        try:
+            change.upsert("usage", numbered(found, first, _PART).drop("path", "line_no"), USAGE_KEY, merge_usage, buckets=buckets)
+            change.state |= {"batch": batch_id, "next_id": first + found.count()}
+            change.commit()
+        finally:
+            found.unpersist()
 
     stream = spark.readStream.format("agent_lines").option("path", roots).load().writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (stream.trigger(processingTime=every) if every else stream.trigger(availableNow=True)).start()
 
 
-def pair_incrementally(open_uses: DataFrame | None, done: DataFrame | None, lines: DataFrame, as_of: str, days: int = 30) -> tuple[DataFrame, DataFrame]:
-    """One step of pairing: (tool events new in this batch, uses still open). Uses of the batch are staged before its results;
-    open uses older than ``days`` are given up; calls that are done stay done."""
-    uses = numbered(tool_uses(lines)).drop("path", "line_no", "block_no")
-    results = numbered(tool_results(lines)).drop("path", "line_no", "block_no")
-    staged = uses if open_uses is None else open_uses.unionByName(uses.withColumn("ingest_seq", F.col("ingest_seq") + 1), allowMissingColumns=True)
-    last = Window.partitionBy(*CALL).orderBy(F.desc("ingest_seq"))
-    staged = staged.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
-    if done is not None:
-        staged = staged.join(done.select(*CALL), list(CALL), "left_anti")
-    first = Window.partitionBy(*CALL).orderBy("ingest_seq")
-    once = results.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*CALL, F.col("ts").alias("result_ts"), "est_result_tokens", "is_error")
-    events = staged.join(once, list(CALL)).withColumn("ts", F.col("result_ts")).drop("result_ts", "ingest_seq")
-    cutoff = F.date_format(F.date_sub(F.lit(as_of[:10]).cast("date"), days), "yyyy-MM-dd")
-    still = staged.join(once, list(CALL), "left_anti").filter(F.substring("ts", 1, 10) >= cutoff).withColumn("ingest_seq", F.lit(0).cast("bigint"))
-    return events, still
-
+def total_of(usage: DataFrame) -> int:
+    from ..plans.schema import total_tokens
 
-def total_of(snapshot: DataFrame) -> int:
-    return snapshot.agg(F.coalesce(F.sum(total_tokens()), F.lit(0))).first()[0]
+    return usage.agg(F.coalesce(F.sum(total_tokens()), F.lit(0))).first()[0]

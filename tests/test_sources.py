@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meterlake.sources import lines, rollouts, sqlite, transcripts
-from meterlake.streaming import ingest
+from meterlake.streaming import ingest, store
 
 
 def turn(message, request, tokens, ts="2026-03-01T10:00:00.000Z", **top):
@@ -71,18 +71,6 @@ def test_tool_blocks(read, tmp_path):
     assert [(r.tool_use_id, r.est_result_tokens, r.is_error) for r in results] == [("t1", 2, True), ("t9", 1, False)]
 
 
-def test_calls_pair_across_batches(read, tmp_path):
-    write(tmp_path / "1.jsonl", [block("tool_use", id="a", name="Bash", input={"command": "ls"}), block("tool_use", id="b", name="Read")])
-    write(tmp_path / "2.jsonl", [block("tool_result", tool_use_id="a", content="x" * 40, ts="2026-03-01T10:00:09.000Z")])
-    none, still = ingest.pair_incrementally(None, None, read(tmp_path / "1.jsonl"), "2026-03-02")
-    assert none.count() == 0 and still.count() == 2
-    done, still = ingest.pair_incrementally(still, None, read(tmp_path / "2.jsonl"), "2026-03-02")
-    assert [(r.tool_use_id, r.ts, r.est_result_tokens) for r in done.collect()] == [("a", "2026-03-01T10:00:09.000Z", 10)]
-    assert [r.tool_use_id for r in still.collect()] == ["b"]
-    _, late = ingest.pair_incrementally(still, done, read(tmp_path / "2.jsonl"), "2026-05-01")
-    assert late.count() == 0  # older than 30 days
-
-
 def test_a_followed_log_keeps_the_highest_version(spark, tmp_path):
     logs, folder, marks = tmp_path / "logs", str(tmp_path / "table"), str(tmp_path / "marks")
     logs.mkdir()
@@ -90,11 +78,11 @@ def test_a_followed_log_keeps_the_highest_version(spark, tmp_path):
     first = [turn("m1", "r1", 100), turn("m1", "r1", 40), turn("m2", "r2", 7)]
     write(logs / "t.jsonl", first, tail=half[:50])
     ingest.ingest_transcripts(spark, str(logs), folder, marks).awaitTermination()
-    table = ingest.Snapshot(spark, folder)
-    assert {r.message_id: r.input_tokens for r in table.read().collect()} == {"m1": 100, "m2": 7}
+    table = store.Store(spark, folder)
+    assert {r.message_id: r.input_tokens for r in table.read("usage").collect()} == {"m1": 100, "m2": 7}
     write(logs / "t.jsonl", [*first, turn("m3", "r3", 1000), turn("m2", "r2", 9), turn("m1", "r1", 100)])
     ingest.ingest_transcripts(spark, str(logs), folder, marks).awaitTermination()
-    rows = table.read()
+    rows = table.read("usage")
     assert {r.message_id: r.input_tokens for r in rows.collect()} == {"m1": 100, "m2": 9, "m3": 1000}
     assert rows.select("id").distinct().count() == 3
     assert ingest.total_of(rows) == rows.agg(F.sum(F.col("input_tokens") + 15)).first()[0]
