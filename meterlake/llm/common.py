@@ -46,6 +46,28 @@ def cut_to(df: DataFrame, **options: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(place), place
 
 
+_SCANS = {"Project", "Filter", "SubqueryAlias", "LogicalRelation", "DataSourceV2ScanRelation", "DataSourceV2Relation"}
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """``df`` if it is read from files without a shuffle or Python code on the way, else a written copy. Only so do its rows have the
+    same places, and ``monotonically_increasing_id`` the same numbers, each time it is computed: Spark may prune columns
+    before a shuffle, and rows then go elsewhere."""
+    left = [df._jdf.queryExecution().analyzed()]
+    while left:
+        node = left.pop()
+        if node.nodeName() not in _SCANS or not node.deterministic():
+            return cut(df)
+        children = node.children()
+        left += [children.apply(k) for k in range(children.size())]
+    return df
+
+
+def numbered(df: DataFrame, row: str) -> DataFrame:
+    """Adds a number that names the row, the same each time what is returned is computed."""
+    return stable(df).withColumn(row, F.monotonically_increasing_id())
+
+
 def remove(spark: SparkSession, place: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(place)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

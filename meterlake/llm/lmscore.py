@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text_slices
+from .common import cut, numbered, text_slices
 
 BACKOFF = 0.4
 SEED = 42  # of Spark's xxhash64
@@ -66,7 +66,7 @@ def backoff_scores(
         raise ValueError("lexicon ids have 20 bits")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("_id"), F.lower(F.col(text_col).cast("string")).alias("_text"))
-    rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    rows = numbered(rows, "_row")
     counts = cut(word_counts(rows, "_text").withColumn("hash", F.xxhash64("word")))
     total = counts.agg(F.sum("n")).first()[0] or 0
     n_buckets = max(64, math.ceil(12 * total / bucket_bytes))

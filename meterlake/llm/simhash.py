@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, release, text_slices
+from .common import cut, free_name, numbered, release, text_slices
 
 RADIUS = 4
 SEED = 42
@@ -214,7 +214,7 @@ def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least)
         edges = cut(small.filter("u <> v").distinct())
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = state
@@ -357,10 +357,10 @@ def drop_near_copies(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 31, small: int = 32,
 ) -> DataFrame:
     """``docs`` with one document of each group of similar texts: the smallest id (null last), of equal ids the first row.
-    Texts with the same two fingerprints are one node if they are similar to its first text. The input must read alike
-    each time."""
+    Texts with the same two fingerprints are one node if they are similar to its first text. An input that isn't read plainly
+    from files is written first."""
     row = free_name(docs, "_row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    every = numbered(docs, row)
     text = F.col(text_col).cast("string")
 
     @F.arrow_udf("one long, two long, exact long")
@@ -382,7 +382,7 @@ def drop_near_copies(
             yield pa.array(found, pa.list_(pa.int64()))
 
     place = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.col(row).alias("row"))
-    rows = numbered.select(place.alias("place"), prints.asNondeterministic()(text).alias("p")).select("place", "p.*")
+    rows = every.select(place.alias("place"), prints.asNondeterministic()(text).alias("p")).select("place", "p.*")
     sets = cut(rows.groupBy("one", "two", "exact").agg(F.min("place").alias("place")))  # texts of equal shingle sets are one
     first = F.min(F.struct("place", "exact"))
     nodes = cut(sets.groupBy("one", "two").agg(first.alias("f"), F.count("*").alias("k")).select("one", "two", "f.place", "k", F.monotonically_increasing_id().alias("node")))
@@ -401,7 +401,7 @@ def drop_near_copies(
     def similar(pairs: DataFrame) -> DataFrame:
         """Of pairs of rows (x, y) those whose shingle sets are similar."""
         wanted = pairs.select(F.col("x").alias(row)).union(pairs.select("y")).distinct()
-        texts = numbered.select(row, text.alias("t")).join(wanted, row)
+        texts = every.select(row, text.alias("t")).join(wanted, row)
         found = cut(texts.select(row, shingle_set.asNondeterministic()(F.col("t")).alias("s")))
         one, two = (found.select(F.col(row).alias(k), F.col("s").alias(f"{k}_s")) for k in ("x", "y"))
         both = F.size(F.array_intersect("x_s", "y_s"))
@@ -424,17 +424,4 @@ def drop_near_copies(
     roots = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
     known = sets.join(roots, F.col("place.row") == F.col("node"), "left").select("place", F.coalesce("root", "place.row").alias("root"))
     stays = known.groupBy("root").agg(F.min("place").alias("place")).select(F.col("place.row").alias(row))
-    return numbered.join(stays, row, "left_semi").select(*docs.columns)
-
-
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each component: the smallest id (null last), of equal ids the first row."""
-    row = free_name(docs, "_row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    place = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.col(row).alias("row"))
-    rows = cut(numbered.select(place.alias("_place"), fingerprint_column(F.col(text_col), shingle).alias("_print")))
-    nodes = rows.groupBy("_print").agg(F.min("_place").alias("_place"))
-    roots = components(fingerprint_links(rows.select("_print").distinct(), radius))
-    known = nodes.join(roots, nodes["_print"] == roots["node"], "left")
-    first = known.groupBy(F.coalesce("root", "_print")).agg(F.min("_place").alias("_place"))
-    return numbered.join(first.select(F.col("_place.row").alias(row)), row, "left_semi").select(*docs.columns)
+    return every.join(stays, row, "left_semi").select(*docs.columns)
