@@ -73,6 +73,14 @@ def with_rates(events: DataFrame, rates: DataFrame | None = None) -> DataFrame:
     return events.join(found, "model", "left")
 
 
+def prefix_counts(events: DataFrame) -> DataFrame:
+    """(prefix, events): how many events each prefix of the fixed card prices."""
+    found = F
+    for prefix, *_ in sorted(RATES, key=lambda r: -len(r[0])):
+        found = found.when(F.col("model").startswith(prefix), prefix)
+    return events.groupBy(found.alias("prefix")).agg(F.count("*").alias("events")).filter("prefix IS NOT NULL")
+
+
 def estimated_cost() -> Column:
     """Dollars from the token columns and ``rate``; cache writes of no named tier cost the 5m rate."""
     positive = lambda c: F.greatest(F.col(c), F.lit(0)).cast("double")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import commands, display, times
-from ..functions.costs import rate_card, unknown_models, with_rates
+from ..functions.costs import prefix_counts, rate_card, unknown_models, with_rates
 from ..functions.identity import hash_parts, project_label
 from ..operators import api, reports, sync, tools
 from ..operators.attribution import retry_candidates
@@ -32,6 +32,8 @@ _SUMS = "input_tokens output_tokens cache_read_tokens cache_creation_tokens reas
 
 def _query(name: str, sql: str | None = None, prefix: str = PREFIX) -> Callable[[Callable[[Ledger], DataFrame]], Callable[[Ledger], DataFrame]]:
     def add(f: Callable[[Ledger], DataFrame]) -> Callable[[Ledger], DataFrame]:
+        if name in _QUERIES:
+            raise ValueError(f"{name} is registered")
         _QUERIES[name] = lambda spark, sf_dir: f(Ledger(spark, sf_dir))
         if sql:
             _SQL[name] = prefix + sql
@@ -54,7 +56,10 @@ def _report(key: str, saved: str = "CAST(NULL AS BIGINT)", where: str = "true",
 _BY_PROJECT = "LEFT JOIN (SELECT project_path, CAST(sum(saved_tokens) AS BIGINT) AS saved FROM savings GROUP BY 1) s ON s.project_path = k"
 _BY_SESSION = "LEFT JOIN (SELECT source, session_id, CAST(sum(saved_tokens) AS BIGINT) AS saved FROM savings GROUP BY 1, 2) s ON s.session_id = k AND s.source = src"
 
-_query("src21_rate_card", "SELECT prefix, r_in AS input, r_out AS output, r_read AS cache_read, r_5m AS cache_write_5m, r_1h AS cache_write_1h FROM rates")(lambda t: rate_card(t.spark))
+_query("src21_rate_card", """SELECT prefix, r_in AS input, r_out AS output, r_read AS cache_read, r_5m AS cache_write_5m, r_1h AS cache_write_1h, coalesce(n, 0) AS events FROM rates LEFT JOIN (
+  SELECT prefix, CAST(sum(n) AS BIGINT) AS n FROM (SELECT model, count(*) AS n FROM raw GROUP BY model) JOIN (SELECT model, arg_max(prefix, length(prefix)) AS prefix FROM (SELECT DISTINCT model FROM raw) JOIN rates ON starts_with(model, prefix) GROUP BY model)
+  USING (model) GROUP BY prefix) USING (prefix)""")(
+    lambda t: rate_card(t.spark).join(prefix_counts(t.usage_raw), "prefix", "left").withColumn("events", F.coalesce("events", F.lit(0))))
 _query("snk01_usage_ledger", f"""SELECT id, source, message_id, request_id, session_id, ts, model, {', '.join(_SUMS)}, cache_1h_tokens, cache_5m_tokens, project, cost_basis,
   CAST(round(cost_usd * 1000000) AS BIGINT) AS est_cost_microusd, project_label, machine_id, machine_name, dirty FROM usage""")(
     lambda t: t.usage.select("id", "source", "message_id", "request_id", "session_id", "ts", "model", *_SUMS, "cache_1h_tokens", "cache_5m_tokens", "project", "cost_basis",
@@ -98,8 +103,9 @@ _filtered("agg08_api_agents", lambda w: f"SELECT replace(source, '_', '-') AS ag
 _filtered("agg09_api_projects", lambda w: f"""SELECT project_label, CAST(sum(total) AS BIGINT) AS total_tokens, CAST(coalesce(sum(est_cost_microusd), 0) AS BIGINT) AS est_cost_microusd, count(DISTINCT session_id) AS session_count,
   {_SHARE} FROM merged WHERE {w} GROUP BY project_label""", lambda t, f: api.by_project(t.merged, f))
 _filtered("agg10_api_daily", lambda w: f"SELECT day AS date, model, {_USAGE} FROM merged WHERE {w} GROUP BY day, model", lambda t, f: api.daily_models(t.merged, f))
-_query("agg10_api_daily_days", "SELECT day AS date, CAST(sum(total) AS BIGINT) AS total_tokens, CAST(coalesce(sum(est_cost_microusd), 0) AS BIGINT) AS est_cost_microusd, count(DISTINCT model) AS n_models FROM merged GROUP BY day")(
-    lambda t: api.daily(t.merged, api.Filter()).select("date", "total_tokens", "est_cost_microusd", F.size("by_model").cast("bigint").alias("n_models")))
+_query("agg10_api_daily_nested", """SELECT date, CAST(sum(n) AS BIGINT) AS total_tokens, CAST(sum(cost) AS BIGINT) AS est_cost_microusd, string_agg(model || ':' || n || ':' || cost, ',' ORDER BY n DESC, model) AS models
+  FROM (SELECT day AS date, model, CAST(sum(total) AS BIGINT) AS n, CAST(coalesce(sum(est_cost_microusd), 0) AS BIGINT) AS cost FROM merged GROUP BY day, model) GROUP BY date""")(
+    lambda t: api.daily(t.merged, api.Filter()).select("date", "total_tokens", "est_cost_microusd", F.array_join(F.transform("by_model", lambda x: F.concat_ws(":", x["model"], x["total_tokens"], x["est_cost_microusd"])), ",").alias("models")))
 _filtered("agg11_heatmap", lambda w: f"""SELECT date, total_tokens, est_cost_microusd, CAST(CASE WHEN total_tokens <= 0 OR most <= 0 THEN 0 WHEN total_tokens * 4 >= most * 3 THEN 4 WHEN total_tokens * 2 >= most THEN 3
   WHEN total_tokens * 4 >= most THEN 2 ELSE 1 END AS INTEGER) AS level, most AS max_tokens, '2024-01-01' AS horizon FROM (SELECT day AS date, CAST(sum(total) AS BIGINT) AS total_tokens,
   CAST(coalesce(sum(est_cost_microusd), 0) AS BIGINT) AS est_cost_microusd, CAST(max(sum(total)) OVER () AS BIGINT) AS most FROM merged WHERE {w} AND day >= '2023-02-01' GROUP BY day)""", lambda t, f: api.heatmap(t.merged, f, AS_OF))
@@ -239,3 +245,6 @@ def oracle_sql() -> dict[str, str]:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usage by day, from raw events through pricing and keep-higher."""
     return _QUERIES["agg01_daily"](spark, sf_dir)
+
+
+from . import batches  # noqa: E402, F401  registers queries of its own

@@ -23,6 +23,7 @@ EVENT = (
     "source string, session_id string, tool_use_id string, ts string, project string, tool_name string, est_args_tokens bigint, "
     "head_hashes array<string>, chain_hashes array<string>, est_result_tokens bigint, is_error boolean"
 )
+_EVENT = [x.split()[0] for x in EVENT.split(", ")]
 _KEY = list(CALL)
 
 
@@ -82,8 +83,8 @@ class _Pairing(StatefulProcessor):
         self.use = handle.getValueState("use", "ts string, project string, tool_name string, est_args_tokens bigint, head_hashes array<string>, chain_hashes array<string>")
         self.done = handle.getValueState("done", "ts string")
 
-    def _expire(self, ts: str, now: int) -> None:
-        """A timer at the end of the last day a use may wait; one that is over runs out with this batch."""
+    def _expire(self, ts: str) -> None:
+        """A timer at the end of the last day a use may wait; one that is over runs out at the end of this batch."""
         if self.days is None:
             return
         for t in self.handle.listTimers():
@@ -92,28 +93,26 @@ class _Pairing(StatefulProcessor):
             begun = datetime.fromisoformat(ts[:10]).replace(tzinfo=UTC).timestamp() * 1000
         except ValueError:
             begun = 0
-        self.handle.registerTimer(max(now + 1, int(begun) + (self.days + 1) * 86_400_000))
+        self.handle.registerTimer(max(1, int(begun) + (self.days + 1) * 86_400_000))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         if self.done.exists():
             return
-        now = timerValues.getCurrentProcessingTimeInMs()
         use = self.use.get() if self.use.exists() else None
         was = use
-        for r in sorted(rows, key=lambda r: tuple(r.seq) if isinstance(r.seq, tuple) else r.seq):
-            if r.use is not None:
-                use = tuple(r.use[c] for c in USE)
+        for r in sorted(rows, key=lambda r: r.place):
+            if r.is_use:
+                use = tuple(r[c] for c in USE)
             elif use is not None:
-                names = dict(zip(USE, use, strict=True))
                 self.use.clear()
-                self.done.update((r.result.ts,))
-                self._expire(r.result.ts, now)
-                found = dict(zip(_KEY, key, strict=True)) | names | {c: r.result[c] for c in RESULT}
-                yield Row(*(found[x.split()[0]] for x in EVENT.split(", ")))
+                self.done.update((r.ts,))
+                self._expire(r.ts)
+                found = dict(zip(USE, use, strict=True)) | {c: r[c] for c in (*CALL, *RESULT)}
+                yield Row(**{c: found[c] for c in _EVENT})
                 return
         if use is not was:
             self.use.update(use)
-            self._expire(use[0], now)
+            self._expire(use[0])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.use.clear()
@@ -124,10 +123,18 @@ class _Pairing(StatefulProcessor):
         pass
 
 
-#: State of ``pair_stream`` needs this provider.
-STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+#: What a session needs for ``pair_stream``. Clocks would have a stream that takes what is there run empty batches for ever.
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
 
 
 def pair_stream(rows: DataFrame, days: int | None = 30) -> DataFrame:
-    """Tool events of a stream of ``seen`` rows. Calls are forgotten ``days`` days after their last day, by the clock; None keeps them."""
-    return rows.groupBy(*CALL).transformWithState(statefulProcessor=_Pairing(days), outputStructType=EVENT, outputMode="append", timeMode="ProcessingTime")
+    """Tool events of a stream of ``seen`` rows, whose ``seq`` is a number. Calls are forgotten ``days`` days after their last day, by the clock; None keeps them."""
+    mine = F.col("use").isNotNull()
+    flat = rows.select(
+        *CALL, F.col("seq").cast("bigint").alias("place"), mine.alias("is_use"), F.when(mine, F.col("use.ts")).otherwise(F.col("result.ts")).alias("ts"),
+        *(F.col(f"use.{c}").alias(c) for c in USE[1:]), *(F.col(f"result.{c}").alias(c) for c in RESULT[1:]),
+    )
+    return flat.groupBy(*CALL).transformWithState(statefulProcessor=_Pairing(days), outputStructType=EVENT, outputMode="append", timeMode="ProcessingTime")

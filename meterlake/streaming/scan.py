@@ -4,6 +4,7 @@ Reads on where the last scan stopped (``sources.slices``), parses transcripts an
 version of each, pairs tool calls, and carries the state of rollouts on. Tables of the store:
 
 ``usage``        events by (source, message, request)
+``cells``        sums of usage (``operators.cube``), which take in what changed, by cell
 ``calls``        tool calls, open and done, by call
 ``rollouts``     what later lines of a rollout depend on, by file
 ``cursors``      how far each file was read, by file
@@ -23,11 +24,12 @@ from pyspark.sql import functions as F
 
 from ..functions.costs import price
 from ..functions.identity import project_label
+from ..operators import cube
 from ..operators.dedup import USAGE_KEY, keep_highest
 from ..operators.tools import CALL
 from ..sources import carried, rollouts, slices, transcripts
 from .pairing import give_up, merge_calls, seen
-from .store import Change, Commit, Store, Writer
+from .store import Change, Store, Writer
 
 
 @dataclass(frozen=True)
@@ -69,8 +71,7 @@ def _replace(known: DataFrame | None, rows: DataFrame, key: str) -> DataFrame:
 
 def _rows(change: Change, name: str, touched: list[int], before: bool, done: bool = False) -> int:
     """Rows (of calls: done ones) in the touched buckets of a table, before the change or after."""
-    at = change.base if before else Commit(tables=change.tables)
-    table = change.writer.store.read(name, at=at, buckets=touched)
+    table = change.writer.store.read(name, at=change.base, buckets=touched) if before else change.read(name, touched)
     return 0 if table is None else (table.filter("result IS NOT NULL") if done else table).count()
 
 
@@ -108,6 +109,9 @@ def scan(
         touched = change.upsert("usage", numbered(events, first, range_bytes).drop("path", "line_no"), USAGE_KEY, merge_usage, buckets=buckets)
         inserted = _rows(change, "usage", touched, before=False) - _rows(change, "usage", touched, before=True)
         change.state["next_id"] = first + n
+        if touched:
+            changed = cube.delta(store.read("usage", at=change.base, buckets=touched), change.read("usage", touched))
+            change.upsert("cells", write(changed, "cells"), cube.CELL, cube.add, buckets=buckets)
 
         seq = F.struct(F.lit(number).cast("bigint").alias("scan"), "path", "line_no", "block_no")
         rows = write(seen(transcripts.tool_uses(talk), transcripts.tool_results(talk), seq), "calls")

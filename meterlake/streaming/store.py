@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
@@ -28,6 +29,16 @@ from pyspark.sql.types import StructType
 BUCKET = "_bucket"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session, which all executors see; only a local session may do without."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        place = f"file://{tempfile.gettempdir()}/ledger-{os.getuid()}"
+    return place.rstrip("/")
+
+
 class Conflict(RuntimeError):
     """Another writer has made the commit."""
 
@@ -169,7 +180,7 @@ class Change:
         touched = sorted(r[0] for r in rows.select(bucket_of(key, buckets)).distinct().collect())  # at most ``buckets`` numbers
         if not touched:
             return []
-        known = store.read(name, at=Commit(tables=self.tables), buckets=touched) if old else None
+        known = self.read(name, touched)
         merged = merge(known, rows)
         place = f"tables/{name}/v-{uuid.uuid4().hex}"
         dealt = merged.withColumn(BUCKET, bucket_of(key, buckets)).repartition(BUCKET)
@@ -180,6 +191,10 @@ class Change:
         self.tables[name] = {"schema": json.loads(merged.schema.json()), "buckets": buckets, "key": list(key), "parts": parts}
         return touched
 
+    def read(self, name: str, buckets: Iterable[int] | None = None) -> DataFrame | None:
+        """The table as of this change."""
+        return self.writer.store.read(name, at=Commit(tables=self.tables), buckets=buckets)
+
     def commit(self) -> Commit:
         """Makes the change the next commit: Conflict if there is one since the change began, Fenced if by a new writer."""
         store = self.writer.store

@@ -13,6 +13,7 @@ import zstandard
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from meterlake.operators import cube
 from meterlake.operators.dedup import keep_highest
 from meterlake.operators.tools import CALL
 from meterlake.sources import rollouts, slices, transcripts
@@ -204,6 +205,8 @@ def test_scans_of_a_growing_log_equal_one_pass(spark, tmp_path, seed):
     assert done(writer.store.read("calls")) == done(calls)
     assert {r.tool_use_id for r in pairing.open_uses(writer.store.read("calls")).collect()} == {r.tool_use_id for r in pairing.open_uses(calls).collect()}
     assert sum(s.events_inserted for s in sums) == got.count() and sum(s.tool_events_inserted for s in sums) == sum(done(calls).values())
+    kept = writer.store.read("cells").select(*cube.CELL, *cube.SUMS)
+    assert rows_of(kept) == rows_of(cube.add(None, cube.cells(got)).select(kept.columns))  # sums took in every change
     head = writer.store.head()
     assert run() == scan.Summary() and writer.store.head().number == head.number  # a second scan adds nothing
 
@@ -288,9 +291,11 @@ def test_calls_pair_over_any_cut(spark, cuts):
 
 @pytest.fixture()
 def rocks(spark):
-    spark.conf.set(*pairing.STATE_STORE)
+    for k, v in pairing.SETTINGS.items():
+        spark.conf.set(k, v)
     yield
-    spark.conf.unset(pairing.STATE_STORE[0])
+    for k in pairing.SETTINGS:
+        spark.conf.unset(k)
 
 
 def run_stream(spark, folder, out, days):
