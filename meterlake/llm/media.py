@@ -1,13 +1,15 @@
 """Media columns: texts stored as PNG images in tar archives, and a Spark data source that reads them.
 
 ``write_archives`` lets each task write one tar archive of lossless 8-bit RGB images (64 pixels, 192 bytes
-a row) into a folder, with an index of member offsets beside it. ``MediaArchive`` (format name
-``media_archive``) plans byte ranges over a folder of such archives, reads a range's members one by one,
-streams them as Arrow batches, and tries a failed member again at its offset without starting over.
-
-Defined cases: what isn't UTF-8 counts as U+FFFD; null text is the empty text (one row of blanks); null ids become null again; repeated rows
-are members of their own; an empty table makes no archive and an empty result; a member that stays
-unreadable comes out with its error and null bytes, or raises if ``mode`` is ``failfast``.
+a row) into a folder, with an index beside it (Parquet: member offsets in order, and the ids of the rows, which may be of any length
+and text). ``MediaArchive`` (format name ``media_archive``) plans byte ranges over a folder of such archives, reads a range's members
+one by one from one open file and of the index what the range needs, streams them as Arrow batches, and tries a failed member
+again at its offset, with the file opened anew, without starting over.
+
+Defined cases: what isn't UTF-8 counts as U+FFFD; null text is the empty text (one row of blanks); null ids become null again, others come
+back as they were; repeated rows are members of their own; a very long text is one image (a task holds it whole, others of its batch
+aside); an empty table makes no archive and an empty result; columns other than id and text are not read, whatever their names; a member
+that stays unreadable comes out with its error and null bytes, or raises if ``mode`` is ``failfast``; without an index ids are null.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +33,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from .common import shared_dir, valid_text
 
 ROW_BYTES = 192
+#: Decoded bytes that are handed on at once.
+_DECODED = 8 << 20
 PNG_SIGNATURE = b"\x89PNG\r\n\x1a\n"
-SCHEMA = "archive string, member string, member_offset bigint, media binary, error string"
+SCHEMA = "archive string, member string, member_offset bigint, member_id string, media binary, error string"
+_INDEX = pa.schema([("offset", pa.int64()), ("bytes", pa.int64()), ("id", pa.string())])
 
 
 def _chunk(kind: bytes, data: bytes) -> bytes:
@@ -98,18 +104,19 @@ def write_archives(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text
                     store.create_dir(top, recursive=True)
                     tar = store.open_output_stream(temp)
                 png = encode_png((text.as_py() or "").encode("utf-8"), level)
-                info = tarfile.TarInfo(f"{n:09d}-{'null' if doc is None else doc}.png")
+                info = tarfile.TarInfo(f"{n:09d}.png")
                 info.size = len(png)
                 head = info.tobuf(tarfile.USTAR_FORMAT)
                 tar.write(head + png + bytes(-len(png) % 512))
-                index.append((at, len(png)))
+                index.append((at, len(png), doc))
                 at += len(head) + len(png) + -len(png) % 512
                 n += 1
         if tar is not None:
             tar.write(bytes(1024))
             tar.close()
             with store.open_output_stream(f"{temp}.idx") as f:
-                f.write(np.array(index, "<u8").tobytes())
+                columns = [pa.array(c, t.type) for c, t in zip(zip(*index, strict=True), _INDEX, strict=True)]
+                pq.write_table(pa.Table.from_arrays(columns, schema=_INDEX), f, row_group_size=16_384)
             store.move(f"{temp}.idx", f"{top}/{name}.idx")
             store.move(temp, f"{top}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
@@ -136,13 +143,13 @@ class _Reader(DataSourceReader):
         plan = [_Range(p, a, min(a + self.range_bytes, size)) for p, size in tars for a in range(0, size, self.range_bytes)]
         return plan or [_Range("", 0, 0)]
 
-    def offsets(self, store: pafs.FileSystem, part: _Range) -> Iterator[int]:
-        """Offsets of the members whose header starts in the range: from the index, else header by header."""
+    def offsets(self, store: pafs.FileSystem, part: _Range) -> Iterator[tuple[int, str | None]]:
+        """(offset, id) of the members whose header starts in the range: from the index, else header by header."""
         index = f"{part.path}.idx"
         if store.get_file_info(index).type == pafs.FileType.File:
-            with store.open_input_stream(index) as f:
-                at = np.frombuffer(f.read(), "<u8").reshape(-1, 2)[:, 0]
-            yield from at[np.searchsorted(at, part.start) : np.searchsorted(at, part.end)].tolist()
+            inside = [("offset", ">=", part.start), ("offset", "<", part.end)]
+            found = pq.read_table(index, filesystem=store, columns=["offset", "id"], filters=inside)
+            yield from zip(found.column("offset").to_pylist(), found.column("id").to_pylist(), strict=True)
             return
         with store.open_input_file(part.path) as f:
             at = 0
@@ -152,45 +159,52 @@ class _Reader(DataSourceReader):
                 if len(head) < 512 or not head.strip(b"\0"):
                     return
                 if at >= part.start:
-                    yield at
+                    yield at, None
                 at += 512 + -(-tarfile.TarInfo.frombuf(head, "utf-8", "strict").size // 512) * 512
 
-    def member(self, store: pafs.FileSystem, path: str, at: int) -> tuple[str, bytes]:
-        with store.open_input_file(path) as f:
-            f.seek(at)
-            info = tarfile.TarInfo.frombuf(f.read(512), "utf-8", "strict")
-            data = f.read(info.size)
+    def open(self, store: pafs.FileSystem, path: str) -> pa.NativeFile:
+        return store.open_input_file(path)
+
+    def member(self, f: pa.NativeFile, at: int) -> tuple[str, bytes]:
+        f.seek(at)
+        info = tarfile.TarInfo.frombuf(f.read(512), "utf-8", "strict")
+        data = f.read(info.size)
         if len(data) < info.size:
-            raise OSError(f"{path} ends inside the member at {at}")
+            raise OSError(f"the archive ends inside the member at {at}")
         return info.name, data
 
     def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
         if not part.path:
             return
         store, top = _open(self.folder)
-        rows, held = [], 0
-        for at in self.offsets(store, part):
+        archive, rows, held, f = part.path.rsplit("/", 1)[-1], [], 0, None
+        for at, own in self.offsets(store, part):
             for k in range(self.tries):
                 try:
-                    name, data = self.member(store, part.path, at)
-                    row = (part.path.rsplit("/", 1)[-1], name, at, data, None)
+                    f = f or self.open(store, part.path)
+                    row = (archive, *self._row(f, at, own))
                     break
                 except (OSError, tarfile.TarError) as e:
+                    f = None  # the next try opens the file anew
                     if k + 1 == self.tries and self.mode == "failfast":
                         raise
-                    row = (part.path.rsplit("/", 1)[-1], None, at, None, f"{type(e).__name__}: {e}"[:300])
+                    row = (archive, None, at, own, None, f"{type(e).__name__}: {e}"[:300])
                     time.sleep(self.wait * k)
             rows.append(row)
-            held += len(row[3] or b"")
+            held += len(row[4] or b"")
             if held >= self.batch_bytes:
                 yield _batch(rows)
                 rows, held = [], 0
         if rows:
             yield _batch(rows)
 
+    def _row(self, f: pa.NativeFile, at: int, own: str | None) -> tuple:
+        name, data = self.member(f, at)
+        return name, at, own, data, None
+
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string()]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string()]
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
@@ -214,28 +228,27 @@ def read_archives(spark: SparkSession, folder: str, **options: str) -> DataFrame
     return spark.read.format("media_archive").options(**options).load(folder)
 
 
-
 def media_features(media: DataFrame) -> DataFrame:
     """Adds the decoded payload, its length without padding, and a feature string: image size, mean and largest sample, and the number
     of sample changes, all whole numbers of the decoded image (the mean in thousandths)."""
 
     names = [*media.columns, "payload", "n_bytes", "feature"]
 
+    def features(png: bytes) -> tuple[bytes, int, str]:
+        data, length = decode_png(png)
+        x = np.frombuffer(data, np.uint8)
+        return data, length, f"64x{len(x) // ROW_BYTES} mean={int(x.sum()) * 1000 // len(x)} max={x.max()} changes={np.count_nonzero(x[1:] != x[:-1])}"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                payloads, lengths, features = [], [], []
-                for png in part.column("media"):
-                    data, length = decode_png(png.as_py()) if png.is_valid else (None, None)
-                    payloads.append(data)
-                    lengths.append(length)
-                    if data is None:
-                        features.append(None)
-                        continue
-                    x = np.frombuffer(data, np.uint8)
-                    features.append(f"64x{len(x) // ROW_BYTES} mean={int(x.sum()) * 1000 // len(x)} max={x.max()} changes={np.count_nonzero(x[1:] != x[:-1])}")
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(payloads, pa.binary()), pa.array(lengths, pa.int64()), pa.array(features, pa.string())], names=names)
+            first, found, held = 0, [], 0
+            for k, png in enumerate(batch.column("media")):
+                found.append(features(png.as_py()) if png.is_valid else (None, None, None))
+                held += len(found[-1][0] or b"")
+                if held >= _DECODED or k + 1 == batch.num_rows:  # by decoded bytes: a small image may be a large text
+                    columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.binary(), pa.int64(), pa.string()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*batch.slice(first, k + 1 - first).columns, *columns], names=names)
+                    first, found, held = k + 1, [], 0
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema.fields)
     return media.mapInArrow(run, f"{schema}, payload binary, n_bytes bigint, feature string")
@@ -246,6 +259,5 @@ def text_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     folder = f"{shared_dir(docs.sparkSession)}/media-{uuid.uuid4().hex}"
     write_archives(docs, folder, id_col=id_col, text_col=text_col)
     id_type = docs.schema[id_col].dataType
-    found = F.regexp_extract("member", r"^\d+-(.*)\.png$", 1)
     media = read_archives(docs.sparkSession, folder, mode="failfast")
-    return media_features(media).withColumn(id_col, F.when(found != "null", found).cast(id_type))
+    return media_features(media).withColumn(id_col, F.col("member_id").cast(id_type))

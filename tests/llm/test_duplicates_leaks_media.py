@@ -246,6 +246,19 @@ def test_payloads_come_back(spark, odd, odd_rows, empty):
     assert media.text_media(empty).count() == 0
 
 
+def test_ids_of_any_text_come_back(spark):
+    ids = ["x" * 5000, "null", "", "a\nb", "é/../ü", None, None, "1"]
+    docs = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "doc_id string, text string")
+    got = media.text_media(docs).collect()
+    assert sorted((r.doc_id is None, r.doc_id or "", r.payload.rstrip()) for r in got) == sorted((i is None, i or "", f"text {k}".encode()) for k, i in enumerate(ids))
+
+
+def test_decoded_bytes_of_a_batch_are_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, " " * 3_000_000) for k in range(12)], "doc_id int, text string").coalesce(1)
+    got = media.text_media(docs).select("doc_id", "n_bytes", F.octet_length("payload").alias("p")).collect()
+    assert sorted(r.doc_id for r in got) == list(range(12)) and {(r.n_bytes, r.p) for r in got} == {(3_000_000, 3_000_000)}
+
+
 def test_archive_ranges_read_each_member_once(spark, tmp_path):
     rng = random.Random(9)
     docs = spark.createDataFrame([(k, make_text("en", rng.randrange(300), rng), "en", "s", 1) for k in range(200)], SCHEMA).repartition(3)
@@ -253,7 +266,7 @@ def test_archive_ranges_read_each_member_once(spark, tmp_path):
     with tarfile.open(tmp_path / names[0]) as tar:
         assert all(media.decode_png(tar.extractfile(m).read()) for m in tar.getmembers())
     for size in ("700", "5000", "100000000"):
-        assert sorted(int(r.member[10:-4]) for r in media.read_archives(spark, str(tmp_path), rangeBytes=size).collect()) == list(range(200))
+        assert sorted(int(r.member_id) for r in media.read_archives(spark, str(tmp_path), rangeBytes=size).collect()) == list(range(200))
     for p in tmp_path.glob("*.idx"):
         p.unlink()
     assert media.read_archives(spark, str(tmp_path), rangeBytes="3000").count() == 200
@@ -262,10 +275,12 @@ def test_archive_ranges_read_each_member_once(spark, tmp_path):
 def test_a_failing_member_is_tried_again_alone(tmp_path):
     (tmp_path / "a.tar").write_bytes(b"")
     reader = media._Reader({"path": str(tmp_path), "tries": "3", "wait": "0"})
-    reader.offsets = lambda store, part: iter([0, 512, 1024])
+    reader.offsets = lambda store, part: iter([(0, "a"), (512, None), (1024, "c")])
+    opened = []
+    reader.open = lambda store, path: opened.append(path) or path
     calls = defaultdict(int)
 
-    def member(store, path, at):
+    def member(f, at):
         calls[at] += 1
         if at == 1024 or (at == 512 and calls[at] < 3):
             raise OSError("lost")
@@ -274,6 +289,7 @@ def test_a_failing_member_is_tried_again_alone(tmp_path):
     reader.member = member
     rows = [r for b in reader.read(media._Range("a.tar", 0, 2000)) for r in b.to_pylist()]
     assert [r["member"] for r in rows] == ["m0", "m512", None] and rows[2]["error"] == "OSError: lost" and dict(calls) == {0: 1, 512: 3, 1024: 3}
+    assert len(opened) == 5 and [r["member_id"] for r in rows] == ["a", None, "c"]  # once, and anew behind each failure but the last
     reader.mode = "failfast"
     with pytest.raises(OSError):
         list(reader.read(media._Range("a.tar", 0, 2000)))
