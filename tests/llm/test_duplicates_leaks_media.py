@@ -246,6 +246,32 @@ def test_payloads_come_back(spark, odd, odd_rows, empty):
     assert media.text_media(empty).count() == 0
 
 
+def test_matches_do_not_depend_on_the_blocks(spark):
+    """Frequencies are those of all items, and each block is a pass of its own with one Python call."""
+    rng = random.Random(21)
+    common = make_text("en", 8, rng)
+    items = [(f"i{k}", f"{make_text('en', rng.randrange(4, 40), rng)} {common}") for k in range(120)] + [("i3", ""), (None, make_text("de", 30, rng)), ("twice", "one two three four five six"), ("twice", "one two three four five six")]
+    docs = []
+    for k in range(150):
+        words = items[k % 120][1].split()
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(len(words))] = rng.choice(["x", "the", "und"])
+        docs.append((k, f"{make_text('en', 5, rng)} {' '.join(words)} {make_text('de', 9, rng)}"))
+    docs += [(200, items[121][1]), (201, items[122][1]), (202, None), (203, "")]
+    d, b = spark.createDataFrame(docs, "doc_id int, text string").repartition(3), spark.createDataFrame(items, "item_id string, text string")
+
+    def found(max_bytes):
+        out = decontam.find_leaks(d, b, into="m", max_bytes=max_bytes)
+        assert out.columns == ["doc_id", "text", "m"]
+        return {r.doc_id: [tuple(x) for x in r.m] for r in out.collect()}
+
+    whole = found(1 << 24)
+    assert sum(map(len, whole.values())) > 40 and len(whole) == len(docs)
+    assert found(3000) == whole and found(700) == whole
+    plan = decontam.find_leaks(d, b, into="m", max_bytes=700)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 0  # the blocks have been matched
+
+
 def test_ids_of_any_text_come_back(spark):
     ids = ["x" * 5000, "null", "", "a\nb", "é/../ü", None, None, "1"]
     docs = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "doc_id string, text string")
