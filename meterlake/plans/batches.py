@@ -12,7 +12,7 @@ from ..operators import cube, distinct
 from ..operators.dedup import USAGE_KEY
 from ..operators.tools import CALL
 from ..sources import carried
-from ..streaming import pairing
+from ..streaming import attributing, pairing
 from ..streaming.scan import merge_usage
 from ..streaming.store import Store, shared_folder
 from .catalogue import _BY_SESSION, _ROLLOUT, _SUMS, _micro, _query, _report
@@ -102,6 +102,29 @@ _query("str06_rollout_scans", _ROLLOUT.replace("{models}", _sql_pick("k % 8", MO
     lambda t: _rollout_scans(t).select("file", "line_no", "session_id", "request_id", "ts", "model", "input_tokens", "output_tokens", "cache_read_tokens", "reasoning_tokens", "project", "agent_version"))
 
 
+def _attribution_kept(t: Ledger) -> DataFrame:
+    """Savings and events in four batches that mix times: a match found early may be withdrawn by an event that comes late."""
+    spark, top = t.spark, _folder(t.spark, "attribution")
+    writer = Store(spark, f"{top}/store").writer()
+    t.bash_events.withColumn("part", F.expr("id % 4")).write.partitionBy("part").parquet(f"{top}/bash")
+    t.savings_raw.withColumn("part", F.expr("rtk_row_id % 3")).write.partitionBy("part").parquet(f"{top}/savings")
+    bash, savings = spark.read.parquet(f"{top}/bash"), spark.read.parquet(f"{top}/savings")
+    for k in range(4):
+        def write(df: DataFrame, name: str, k: int = k) -> DataFrame:
+            place = f"{top}/{k}-{name}"
+            df.write.parquet(place)
+            return spark.read.schema(df.schema).parquet(place)
+
+        change = writer.start()
+        attributing.keep(change, savings.filter(F.col("part") == k).drop("part"), bash.filter(F.col("part") == k).drop("part", "command"), 0, write, buckets=8)
+        change.commit()
+    return writer.store.read("savings")
+
+
+_query("str07_attribution_kept", "SELECT rtk_row_id, project_path, saved_tokens, source, session_id, tool_event_id, match_kind FROM savings")(
+    lambda t: _attribution_kept(t).select("rtk_row_id", "project_path", "saved_tokens", "source", "session_id", "tool_event_id", "match_kind"))
+
+
 def _bitmaps(t: Ledger) -> DataFrame:
     """Rows of all days, grown by two batches of events."""
     spark, top, numbers, known = t.spark, _folder(t.spark, "bitmaps"), None, None
