@@ -19,8 +19,8 @@ similarity of 0.8 or more. There fingerprints differ by about ten bits of 64, so
 keys are all pairs of near(i) and near(j), about 170 a text, and what shares a key and is within 31 of the 128 bits is
 verified on the whole texts. By a simulation of such fingerprints 91 % of the pairs at a similarity of 0.8 share a key, 97 %
 at 0.85, 99 % at 0.9; a pair lost may still be in one group by others. In a key's large group a spanning forest is
-verified first, then every pair that it leaves unconnected. Keys have 24 bits: with N texts a key is shared by chance by
-28 N / 2**24, which grows with the corpus.
+verified first, then every pair that it leaves unconnected. Keys are dealt in buckets of bounded size, packed in 20 bytes each. They
+have 24 bits: with N texts a key is shared by chance by 28 N / 2**24, which grows with the corpus.
 
 Defined cases: texts without words (null, empty, blank) have fingerprint zero and are linked like any other;
 null ids are ignored for component ids (last, where one document stays); repeated rows are members; bytes that aren't UTF-8
@@ -304,11 +304,39 @@ def close_pairs(prints: np.ndarray, root: np.ndarray, radius: int, small: int) -
     return np.array(out, np.int64).reshape(-1, 2), False
 
 
-_KEYED = "key bigint, one bigint, two bigint, root bigint"
+_PACKED = "bucket int, rows binary"
+_ENTRY = np.dtype([("key", "<i4"), ("one", "<i8"), ("two", "<i8")])
+#: Bytes of keys that a bucket should have.
+_BUCKET_BYTES = 16 << 20
 
 
-def _candidates(keyed: DataFrame, radius: int, small: int) -> DataFrame:
-    """Rows (key, one, two, root) dealt by key give pairs (a, a2, b, b2) with null key, and those of large groups again."""
+def packed_keys(nodes: DataFrame, n_buckets: int) -> DataFrame:
+    """All keys of (one, two), dealt into buckets by key: a row has those of some thousand nodes for one bucket, 20 bytes each."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        golay = Golay()
+        for batch in batches:
+            one, two = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
+            for k in range(0, len(one), 5000):
+                found = []
+                for kind, own in enumerate((one, two)):
+                    at, key = pair_keys(own[k : k + 5000].view(np.uint64), golay, kind)
+                    rows = np.empty(len(at), _ENTRY)
+                    rows["key"], rows["one"], rows["two"] = key, one[k + at], two[k + at]
+                    found.append(rows)
+                rows = np.concatenate(found)
+                bucket = (rows["key"].astype(np.uint32) * np.uint32(0x9E3779B1)) % np.uint32(n_buckets)
+                order = np.argsort(bucket, kind="stable")
+                used, first = np.unique(bucket[order], return_index=True)
+                parts = np.split(rows[order], first[1:])
+                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([x.tobytes() for x in parts], pa.binary())], names=["bucket", "rows"])
+
+    return nodes.mapInArrow(emit, _PACKED)
+
+
+def _candidates(keyed: DataFrame, radius: int, small: int, packed: bool = False) -> DataFrame:
+    """Pairs (a, a2, b, b2) with null key of rows that share a key, and the rows of large groups again. ``keyed`` has rows (key, one,
+    two, root), or is ``packed``: as yet each node is its own root."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -321,6 +349,28 @@ def _candidates(keyed: DataFrame, radius: int, small: int) -> DataFrame:
         if held is not None:
             yield from groups(held)
 
+    def compare_packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+        for batch in batches:
+            for own, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if own != bucket:
+                    yield from unpacked(held)
+                    bucket, held = own, []
+                held.append(part.as_py())
+        yield from unpacked(held)
+
+    def unpacked(parts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if not parts:
+            return
+        found = np.frombuffer(b"".join(parts), _ENTRY)
+        found = found[np.lexsort((found["two"], found["one"], found["key"]))]
+        _, again, size = np.unique(found["key"], return_inverse=True, return_counts=True)
+        found = found[size[again] > 1]  # most keys are of one node alone
+        for k in _cuts(found["key"]):
+            part = found[k]
+            rows = np.stack([part["key"].astype(np.int64), part["one"], part["two"], np.arange(len(part))], axis=1)
+            yield from groups(rows)
+
     def groups(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(rows):
             return
@@ -349,8 +399,20 @@ def _candidates(keyed: DataFrame, radius: int, small: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([none, *map(pa.array, pairs.T)], names=["key", "a", "a2", "b", "b2"])
         yield pa.RecordBatch.from_arrays([*map(pa.array, later.T), pa.nulls(len(later), pa.int64())], names=["key", "a", "a2", "b", "b2"])
 
-    dealt = keyed.repartition("key").sortWithinPartitions("key", "one", "two")
-    return dealt.mapInArrow(compare, "key bigint, a bigint, a2 bigint, b bigint, b2 bigint")
+    out = "key bigint, a bigint, a2 bigint, b bigint, b2 bigint"
+    if packed:
+        return keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compare_packed, out)
+    return keyed.repartition("key").sortWithinPartitions("key", "one", "two").mapInArrow(compare, out)
+
+
+def _cuts(keys: np.ndarray, most: int = 1 << 18) -> Iterator[slice]:
+    """Slices of sorted keys of about ``most`` rows that end with a key."""
+    at = 0
+    while at < len(keys):
+        to = min(at + most, len(keys))
+        to = to if to == len(keys) else int(np.searchsorted(keys, keys[to - 1], "right"))
+        yield slice(at, to)
+        at = to
 
 
 def drop_near_copies(
@@ -385,19 +447,10 @@ def drop_near_copies(
     rows = every.select(place.alias("place"), prints.asNondeterministic()(text).alias("p")).select("place", "p.*")
     sets = cut(rows.groupBy("one", "two", "exact").agg(F.min("place").alias("place")))  # texts of equal shingle sets are one
     first = F.min(F.struct("place", "exact"))
-    nodes = cut(sets.groupBy("one", "two").agg(first.alias("f"), F.count("*").alias("k")).select("one", "two", "f.place", "k", F.monotonically_increasing_id().alias("node")))
+    nodes = cut(sets.groupBy("one", "two").agg(first.alias("f"), F.count("*").alias("k")).select("one", "two", "f.place", "k"))
     # From here a node is its two prints; other sets of the same prints are compared with the node's first.
     again = sets.join(nodes.filter("k > 1").select("one", "two", F.col("place").alias("head")), ["one", "two"]).filter("place <> head")
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        golay = Golay()
-        for batch in batches:
-            one, two, node = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
-            for k in range(0, len(one), 5000):
-                for kind, own in enumerate((one, two)):
-                    at, key = pair_keys(own[k : k + 5000].view(np.uint64), golay, kind)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(one[k + at]), pa.array(two[k + at]), pa.array(node[k + at])], names=["key", "one", "two", "root"])
-
     def similar(pairs: DataFrame) -> DataFrame:
         """Of pairs of rows (x, y) those whose shingle sets are similar."""
         wanted = pairs.select(F.col("x").alias(row)).union(pairs.select("y")).distinct()
@@ -412,7 +465,8 @@ def drop_near_copies(
         side = lambda k, a: nodes.select(F.col("one").alias(a), F.col("two").alias(f"{a}2"), F.col("place.row").alias(k))
         return cut(found.filter("key IS NULL").select("a", "a2", "b", "b2").distinct().join(side("x", "a"), ["a", "a2"]).join(side("y", "b"), ["b", "b2"]).select("x", "y"))
 
-    found = cut(_candidates(nodes.select("one", "two", "node").mapInArrow(emit, _KEYED), radius, small))
+    n_buckets = max(64, nodes.count() * 180 * _ENTRY.itemsize // _BUCKET_BYTES)
+    found = cut(_candidates(packed_keys(nodes.select("one", "two"), n_buckets), radius, small, packed=True))
     links = similar(rows_of(found).union(again.select(F.col("place.row").alias("x"), F.col("head.row").alias("y"))))
     large = found.filter("key IS NOT NULL").select("key", F.col("a").alias("one"), F.col("a2").alias("two"))
     if not large.isEmpty():
