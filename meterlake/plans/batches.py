@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.costs import price
-from ..operators import cube, distinct
+from ..operators import api, cube, distinct, pages
 from ..operators.dedup import USAGE_KEY
 from ..operators.tools import CALL
 from ..sources import carried
 from ..streaming import attributing, pairing
 from ..streaming.scan import merge_usage
 from ..streaming.store import Store, shared_folder
-from .catalogue import _BY_SESSION, _ROLLOUT, _SUMS, _micro, _query, _report
+from .catalogue import _BY_SESSION, _ROLLOUT, _SESSIONS, _SUMS, _micro, _query, _report
 from .projection import MODELS, Ledger, _sql_pick
 
 
@@ -143,3 +143,16 @@ _query("agg06_distinct_bitmaps", f"SELECT {_COUNTS} FROM merged WHERE day BETWEE
     lambda t: distinct.counts(_bitmaps(t).filter("day BETWEEN '2024-01-10' AND '2024-01-25' AND source <> 'opencode'")))
 _query("agg09_project_sessions_bitmaps", "SELECT project_label, count(DISTINCT session_id) AS sessions, count(DISTINCT machine_id) AS machines FROM merged GROUP BY project_label")(
     lambda t: distinct.counts(_bitmaps(t), "project_label").select("project_label", "sessions", "machines"))
+
+
+_PAGE = [pages.Order("started_at", falling=True), pages.Order("session_id")]
+_PAGE_COLUMNS = "session_id string, project_label string, machine_name string, started_at string, ended_at string, event_count bigint, total_tokens bigint, est_cost_microusd bigint, model string, agent string, rtk_saved_tokens bigint"
+
+
+def _paged(t: Ledger, number: int) -> DataFrame:
+    folder = _folder(t.spark, "pages")
+    pages.lay_out(api.sessions(t.merged, t.savings, api.Filter()), folder, _PAGE, rows_per_range=200)
+    return pages.page(t.spark, folder, _PAGE, _PAGE_COLUMNS, number, 50)
+
+
+_query("ord03_page_by_seek", _SESSIONS.format(w="true") + " ORDER BY started_at DESC, session_id LIMIT 50 OFFSET 50")(lambda t: _paged(t, 2))

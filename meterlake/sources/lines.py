@@ -1,7 +1,8 @@
 """Lines of append-only log files with their place, as a batch and as a streaming source.
 
 A file's lines stay in order in one partition. Only finished lines come out: the text behind the last line break
-waits for the next read. ``.zst`` files are read whole. Lines that aren't UTF-8 come out with null text.
+waits for the next read. ``.zst`` files are read whole, as streams. Lines that aren't UTF-8 come out with null text.
+For files too large for one task see ``slices``.
 """
 
 from __future__ import annotations
@@ -34,43 +35,32 @@ def log_files(root: str, names: tuple[str, ...] = (".jsonl", ".jsonl.zst"), skip
     return sorted(kept.items())
 
 
-def resume_offset(size: int, known_size: int | None, known_mtime: int | None, mtime: int, offset: int) -> int:
-    """Where to read on: behind what was read, or from the start if the file shrank or was rewritten at the same size."""
-    if known_size is None or size < offset or (size == known_size and mtime != known_mtime):
-        return 0
-    return offset
-
-
-def finished_lines(data: bytes) -> tuple[list[bytes], int]:
-    """Lines that end in a line break, and how many bytes they take."""
-    end = data.rfind(b"\n") + 1
-    return (data[:end].split(b"\n")[:-1] if end else []), end
-
-
 def read_lines(root: str, path: str, start: int, end: int | None = None) -> Iterator[pa.RecordBatch]:
-    store, _ = _open(root)
-    if path.endswith(".zst"):
-        import zstandard
+    """Batches of the finished lines in [start, end); the reader holds one line and a block of bytes."""
+    from .slices import packed_lines, plain_lines
 
-        with store.open_input_stream(path, compression=None) as f:
-            data = zstandard.ZstdDecompressor().stream_reader(f).read() if start == 0 else b""
-    else:
-        with store.open_input_file(path) as f:
-            f.seek(start)
-            data = f.read() if end is None else f.read(end - start)
-    lines, _ = finished_lines(data)
-    at, rows = start, []
-    for n, line in enumerate(lines):
+    store, _ = _open(root)
+    size = store.get_file_info(path).size if end is None else end
+    packed = path.endswith(".zst")
+    found = (packed_lines(store, path) if start == 0 else ()) if packed else plain_lines(store, path, start, size, size, True)
+    rows, held = [], 0
+    for n, (at, line) in enumerate(found):
         try:
             text = line.decode("utf-8").removesuffix("\r")
         except UnicodeDecodeError:
             text = None
         rows.append((path, n, at, text))
-        at += len(line) + 1
-    for k in range(0, len(rows), 5000):
-        cols = list(zip(*rows[k : k + 5000], strict=True))
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["path", "line_no", "byte_offset", "text"])
+        held += len(line)
+        if len(rows) >= 5000 or held >= 4 << 20:
+            yield _batch(rows)
+            rows, held = [], 0
+    if rows:
+        yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["path", "line_no", "byte_offset", "text"])
 
 
 class _Slice(InputPartition):
@@ -98,10 +88,12 @@ class _Batch(DataSourceReader):
 
 
 class _Stream(DataSourceStreamReader):
-    """Offsets are {path: bytes read}; a file that shrank is read again from its start."""
+    """Offsets are {path: [bytes read, size, time of change]}; a file that shrank, or changed at the same size, is read again from its
+    start. Only files that changed since the last look are opened to find their last line break."""
 
     def __init__(self, roots: list[str]):
         self.roots = roots
+        self.known: dict[str, list[int]] = {}
 
     def initialOffset(self) -> dict:
         return {"files": "{}"}
@@ -110,29 +102,37 @@ class _Stream(DataSourceStreamReader):
         ends = {}
         for root in self.roots:
             store, _ = _open(root)
-            for path, size in log_files(root):
-                if path.endswith(".zst"):
-                    ends[path] = size
-                    continue
-                back = min(size, 1 << 20)
-                with store.open_input_file(path) as f:
-                    f.seek(size - back)
-                    tail = f.read(back)
-                while b"\n" not in tail and back < size:  # a line longer than what was looked at
-                    back = min(size, back * 4)
-                    with store.open_input_file(path) as f:
-                        f.seek(size - back)
-                        tail = f.read(back)
-                ends[path] = size - back + tail.rfind(b"\n") + 1
+            paths = [p for p, _ in log_files(root)]
+            for info in store.get_file_info(paths) if paths else []:
+                was = self.known.get(info.path)
+                same = was and was[1:] == [info.size, info.mtime_ns or 0]
+                ends[info.path] = was if same else [self._finished(store, info.path, info.size), info.size, info.mtime_ns or 0]
+        self.known = ends
         return {"files": json.dumps(ends, sort_keys=True)}
 
+    @staticmethod
+    def _finished(store: pafs.FileSystem, path: str, size: int) -> int:
+        """Behind the last line break; looks back in growing steps."""
+        if path.endswith(".zst"):
+            return size
+        back = min(size, 1 << 20)
+        with store.open_input_file(path) as f:
+            while True:
+                f.seek(size - back)
+                tail = f.read(min(back, 1 << 20))  # the part not looked at yet
+                at = tail.rfind(b"\n")
+                if at >= 0 or back == size:
+                    return size - back + at + 1
+                back = min(size, back + (1 << 20))
+
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         old, new = json.loads(start["files"]), json.loads(end["files"])
         plan = []
         for root in self.roots:
             for path, _ in log_files(root):
-                a, b = old.get(path, 0), new.get(path, 0)
-                a = 0 if b < a or (path.endswith(".zst") and b != a) else a
+                (a, size, time), (b, new_size, new_time) = old.get(path, (0, 0, 0)), new.get(path, (0, 0, 0))
+                again = b < a or new_size < size or (new_size == size and new_time != time)
+                a = 0 if again or (path.endswith(".zst") and b != a) else a
                 if b > a:
                     plan.append(_Slice(f"{root}\n{path}", a, b))
         return plan

@@ -62,7 +62,7 @@ def ranges(planned: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     return cut.select("root", "path", "piece", first.alias("start"), F.least(first + range_bytes, F.col("size")).alias("end"), "size", (F.col("piece") == 0).alias("at_line"))
 
 
-def _plain(store: pafs.FileSystem, path: str, start: int, end: int, size: int, at_line: bool) -> Iterator[tuple[int, bytes]]:
+def plain_lines(store: pafs.FileSystem, path: str, start: int, end: int, size: int, at_line: bool) -> Iterator[tuple[int, bytes]]:
     """(offset, line) of the lines that begin in [start, end)."""
     with store.open_input_file(path) as f:
         at = start if at_line else start - 1  # one byte before: whether it is a line break says if a line begins at the start
@@ -84,7 +84,7 @@ def _plain(store: pafs.FileSystem, path: str, start: int, end: int, size: int, a
             held.append(parts[-1])
 
 
-def _packed(store: pafs.FileSystem, path: str) -> Iterator[tuple[int, bytes]]:
+def packed_lines(store: pafs.FileSystem, path: str) -> Iterator[tuple[int, bytes]]:
     import zstandard
 
     with store.open_input_stream(path, compression=None) as f:
@@ -113,7 +113,7 @@ def read_ranges(cut: DataFrame, tasks: int | None = None) -> DataFrame:
             for r in batch.to_pylist():
                 store, _ = _open(r["root"])
                 packed = r["path"].endswith(".zst")
-                found = _packed(store, r["path"]) if packed else _plain(store, r["path"], r["start"], r["end"], r["size"], r["at_line"])
+                found = packed_lines(store, r["path"]) if packed else plain_lines(store, r["path"], r["start"], r["end"], r["size"], r["at_line"])
                 for at, line in found:
                     try:
                         text = line.decode("utf-8").removesuffix("\r")

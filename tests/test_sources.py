@@ -1,6 +1,7 @@
 """Logs and databases written by the tests, read through the sources: parsing, order, resuming, keep-highest, pairing."""
 
 import json
+import os
 import sqlite3
 
 import pytest
@@ -43,12 +44,28 @@ def test_lines_keep_their_places_and_the_last_open_one_waits(read, tmp_path):
     assert read(tmp_path / "nowhere").count() == 0
 
 
-def test_resume_offset():
-    assert lines.resume_offset(10, None, None, 1, 0) == 0
-    assert lines.resume_offset(20, 10, 1, 2, 10) == 10  # it grew
-    assert lines.resume_offset(5, 10, 1, 2, 10) == 0  # it shrank
-    assert lines.resume_offset(10, 10, 1, 2, 10) == 0  # rewritten at the same size
-    assert lines.resume_offset(10, 10, 1, 1, 10) == 10
+def test_a_stream_reads_what_changed(tmp_path):
+    path = tmp_path / "a.jsonl"
+
+    def look(text, tick):
+        path.write_text(text)
+        os.utime(path, ns=(tick, tick))
+        return stream.latestOffset()
+
+    stream = lines._Stream([str(tmp_path)])
+    plan = lambda a, b: [(p.start, p.end) for p in stream.partitions(a, b)]
+    zero, one = stream.initialOffset(), look("ab\ncd", 1)
+    assert plan(zero, one) == [(0, 3)]
+    two = look("ab\ncd\n", 2)
+    assert plan(one, two) == [(3, 6)] and plan(two, two) == []
+    three = look("xb\ncd\n", 3)  # rewritten at the same size
+    assert plan(two, three) == [(0, 6)]
+    assert plan(three, look("x\n", 4)) == [(0, 2)]
+    assert plan(zero, look("no line break" * 200_000, 5)) == []
+    opened = []
+    stream._finished = lambda *a: opened.append(a) or 0
+    stream.latestOffset()
+    assert opened == []  # nothing changed
 
 
 def test_transcript_outcomes(read, tmp_path):
