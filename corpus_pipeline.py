@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each stage's rows to the shared folder
 and reads them back as the next one's ``docs``. All stages but the last keep the columns of the documents.
+
+Defined cases: a null or empty text, or one without a letter, has no language and goes in the first stage. Repeated rows are near copies
+of each other: the first one stays; of equal ids the first row of the input, null ids last. Very long texts are read whole. An empty
+table ends as an empty result. Extra columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations

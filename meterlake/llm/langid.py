@@ -11,7 +11,10 @@ look-ups, for whole blocks of text at a time. Memory of a worker is about
 ``max_contexts * 1 KB * (languages + 1)``.
 
 Defined cases: a text that is null, empty or without a letter is ``und`` with score 0; so is every text if
-there is nothing to learn from. Only text and language are learned from; repeated texts count once.
+there is nothing to learn from. Only text and language are learned from; repeated texts count once. Of languages with equal code
+lengths the first by name wins. Ids are not read, so null and repeated ones don't matter; repeated rows are scored each; very long texts are
+read whole, in blocks; bytes that aren't UTF-8 count as U+FFFD; an empty table gives an empty result; a column of the result's name is
+replaced, other columns stay.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ A task packs the pieces it has tokenized in blocks of bounded size, so nothing i
 hot, and memory is bounded by ``block_tokens``; the price is at most a few part-filled sequences a block.
 
 Defined cases: what isn't UTF-8 counts as U+FFFD; null text is the empty text (one piece, the end id alone); repeated rows are packed as
-often as they come; an empty table gives an empty result; other columns of the input are ignored.
+often as they come, and so are rows with null ids; pieces of equal length go in the order of the input, and of bins that are equally
+good the first one is taken; very long texts are tokenized whole; an empty table gives an empty result; other columns of the input are
+ignored, whatever their names.
 """
 
 from __future__ import annotations

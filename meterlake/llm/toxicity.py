@@ -7,7 +7,9 @@ one task; only the weights, 2**bits floats, reach the driver.
 
 Defined cases: null text is the empty text and scores by the intercept alone; labels that are null count
 as absent, of several labels of a document the largest holds; without both classes in the training rows
-every score is the share of the class there is (0.5 if none).
+every score is the share of the class there is (0.5 if none). Equal texts score alike, ties included; repeated rows are scored each,
+and a repeated id counts once in the sample; null ids are never labelled; very long texts are read whole, an n-gram counting once
+however often it comes; what isn't UTF-8 counts as U+FFFD; an empty table gives an empty result; only the text is read to score.
 """
 
 from __future__ import annotations
@@ -116,4 +118,4 @@ def toxic_score(spark, weights: np.ndarray, text: Column, *, features: Features
             sums = [float(w[features.of(t)].sum(dtype=np.float64)) for _, block in text_slices(texts) for t in block]
             yield pa.array(1 / (1 + np.exp(-np.clip(np.array(sums, float) + float(w[-1]), -700, 700))))
 
-    return score(text)
+    return score.asNondeterministic()(text)  # else a filter on the score has Spark compute it twice
