@@ -7,43 +7,41 @@ from pyspark.sql import functions as F
 
 RATE_SCHEMA = "prefix string, input double, output double, cache_read double, cache_write_5m double, cache_write_1h double"
 
-#: US dollars a million tokens by model-id prefix (input, output, cache read, 5m write, 1h write).
-RATES_PER_MILLION = (
-    ("claude-opus-4-5", 5, 25, 0.5, 6.25, 10),
-    ("claude-opus-4-6", 5, 25, 0.5, 6.25, 10),
-    ("claude-opus-4-7", 5, 25, 0.5, 6.25, 10),
-    ("claude-opus-4-8", 5, 25, 0.5, 6.25, 10),
-    ("claude-opus-4-1", 15, 75, 1.5, 18.75, 30),
-    ("claude-opus-4-0", 15, 75, 1.5, 18.75, 30),
-    ("claude-opus-4-20250514", 15, 75, 1.5, 18.75, 30),
-    ("claude-3-opus", 15, 75, 1.5, 18.75, 30),
-    ("claude-sonnet-", 3, 15, 0.3, 3.75, 6),
-    ("claude-3-5-sonnet", 3, 15, 0.3, 3.75, 6),
-    ("claude-3-7-sonnet", 3, 15, 0.3, 3.75, 6),
-    ("claude-haiku-", 1, 5, 0.1, 1.25, 2),
-    ("claude-3-5-haiku", 0.8, 4, 0.08, 1, 1.6),
-    ("claude-fable-", 10, 50, 1, 12.5, 20),
-    ("gpt-5.1-codex-mini", 0.25, 2, 0.025, 0, 0),
-    ("gpt-5.1-codex", 1.25, 10, 0.125, 0, 0),
-    ("gpt-5.1", 1.25, 10, 0.125, 0, 0),
-    ("gpt-5-codex", 1.25, 10, 0.125, 0, 0),
-    ("gpt-5-mini", 0.25, 2, 0.025, 0, 0),
-    ("gpt-5-nano", 0.05, 0.4, 0.005, 0, 0),
-    ("gpt-5", 1.25, 10, 0.125, 0, 0),
-    ("codex-mini", 1.5, 6, 0.375, 0, 0),
-    ("gpt-5.3-codex", 1.75, 14, 0.175, 0, 0),
-    ("gpt-5.4-mini", 0.75, 4.5, 0.075, 0, 0),
-    ("gpt-5.4-nano", 0.2, 1.25, 0.02, 0, 0),
-    ("gpt-5.4-pro", 30, 180, 0, 0, 0),
-    ("gpt-5.4", 2.5, 15, 0.25, 0, 0),
-    ("gpt-5.5-pro", 30, 180, 0, 0, 0),
-    ("gpt-5.5", 5, 30, 0.5, 0, 0),
-    ("gpt-5.6-sol", 5, 30, 0.5, 0, 0),
-    ("gpt-5.6-terra", 2.5, 15, 0.25, 0, 0),
-    ("gpt-5.6-luna", 1, 6, 0.1, 0, 0),
+#: US dollars a token by model-id prefix (input, output, cache read, 5m write, 1h write).
+RATES = (
+    ("claude-opus-4-5", 5e-6, 2.5e-5, 5e-7, 6.25e-6, 1e-5),
+    ("claude-opus-4-6", 5e-6, 2.5e-5, 5e-7, 6.25e-6, 1e-5),
+    ("claude-opus-4-7", 5e-6, 2.5e-5, 5e-7, 6.25e-6, 1e-5),
+    ("claude-opus-4-8", 5e-6, 2.5e-5, 5e-7, 6.25e-6, 1e-5),
+    ("claude-opus-4-1", 1.5e-5, 7.5e-5, 1.5e-6, 1.875e-5, 3e-5),
+    ("claude-opus-4-0", 1.5e-5, 7.5e-5, 1.5e-6, 1.875e-5, 3e-5),
+    ("claude-opus-4-20250514", 1.5e-5, 7.5e-5, 1.5e-6, 1.875e-5, 3e-5),
+    ("claude-3-opus", 1.5e-5, 7.5e-5, 1.5e-6, 1.875e-5, 3e-5),
+    ("claude-sonnet-", 3e-6, 1.5e-5, 3e-7, 3.75e-6, 6e-6),
+    ("claude-3-5-sonnet", 3e-6, 1.5e-5, 3e-7, 3.75e-6, 6e-6),
+    ("claude-3-7-sonnet", 3e-6, 1.5e-5, 3e-7, 3.75e-6, 6e-6),
+    ("claude-haiku-", 1e-6, 5e-6, 1e-7, 1.25e-6, 2e-6),
+    ("claude-3-5-haiku", 8e-7, 4e-6, 8e-8, 1e-6, 1.6e-6),
+    ("claude-fable-", 1e-5, 5e-5, 1e-6, 1.25e-5, 2e-5),
+    ("gpt-5.1-codex-mini", 2.5e-7, 2e-6, 2.5e-8, 0.0, 0.0),
+    ("gpt-5.1-codex", 1.25e-6, 1e-5, 1.25e-7, 0.0, 0.0),
+    ("gpt-5.1", 1.25e-6, 1e-5, 1.25e-7, 0.0, 0.0),
+    ("gpt-5-codex", 1.25e-6, 1e-5, 1.25e-7, 0.0, 0.0),
+    ("gpt-5-mini", 2.5e-7, 2e-6, 2.5e-8, 0.0, 0.0),
+    ("gpt-5-nano", 5e-8, 4e-7, 5e-9, 0.0, 0.0),
+    ("gpt-5", 1.25e-6, 1e-5, 1.25e-7, 0.0, 0.0),
+    ("codex-mini", 1.5e-6, 6e-6, 3.75e-7, 0.0, 0.0),
+    ("gpt-5.3-codex", 1.75e-6, 1.4e-5, 1.75e-7, 0.0, 0.0),
+    ("gpt-5.4-mini", 7.5e-7, 4.5e-6, 7.5e-8, 0.0, 0.0),
+    ("gpt-5.4-nano", 2e-7, 1.25e-6, 2e-8, 0.0, 0.0),
+    ("gpt-5.4-pro", 3e-5, 0.00018, 0.0, 0.0, 0.0),
+    ("gpt-5.4", 2.5e-6, 1.5e-5, 2.5e-7, 0.0, 0.0),
+    ("gpt-5.5-pro", 3e-5, 0.00018, 0.0, 0.0, 0.0),
+    ("gpt-5.5", 5e-6, 3e-5, 5e-7, 0.0, 0.0),
+    ("gpt-5.6-sol", 5e-6, 3e-5, 5e-7, 0.0, 0.0),
+    ("gpt-5.6-terra", 2.5e-6, 1.5e-5, 2.5e-7, 0.0, 0.0),
+    ("gpt-5.6-luna", 1e-6, 6e-6, 1e-7, 0.0, 0.0),
 )
-#: The same a token, as plain decimals.
-RATES = tuple((p, *(float(f"{x}e-6") for x in r)) for p, *r in RATES_PER_MILLION)
 
 
 def rate_card(spark: SparkSession) -> DataFrame:

@@ -57,8 +57,8 @@ def preview(events: DataFrame, prefs: DataFrame) -> DataFrame:
 
 
 def machines(merged: DataFrame, current: str) -> DataFrame:
-    """Each machine's last time, name at that time, number of events, and whether it is this one."""
-    sums = merged.groupBy("machine_id").agg(F.max("ts").alias("last_seen"), F.count("*").alias("event_count"), F.max_by("machine_name", "ts").alias("machine_name"))
+    """Each machine's last time, name at that time (of several the last by name), number of events, and whether it is this one."""
+    sums = merged.groupBy("machine_id").agg(F.max("ts").alias("last_seen"), F.count("*").alias("event_count"), F.max(F.struct("ts", "machine_name"))["machine_name"].alias("machine_name"))
     return sums.withColumn("is_current", F.col("machine_id") == current).orderBy(F.desc("event_count"), "machine_id")
 
 

@@ -13,6 +13,7 @@ from ..functions.identity import hash_parts, project_label
 from ..operators import api, reports, sync, tools
 from ..operators.attribution import retry_candidates
 from ..operators.dedup import keep_first, keep_last, upsert_outcomes
+from ..operators.tools import CALL
 from ..sources import rollouts
 from .projection import AS_OF, COMMANDS, MODELS, PREFIX, TOTAL_SQL, Ledger, _sql_pick
 
@@ -142,12 +143,19 @@ _query("jn02_tool_events", "SELECT * FROM tool_events")(lambda t: t.tool_events.
 _query("jn02_pending", "SELECT source, session_id, tool_use_id, ts, tool_name FROM tool_uses ANTI JOIN tool_events USING (source, session_id, tool_use_id)")(
     lambda t: tools.pending(t.tool_uses, t.tool_events).select("source", "session_id", "tool_use_id", "ts", "tool_name"))
 _query("snk04_last_use_wins", "SELECT session_id, tool_name, max(seq) AS seq FROM tool_uses GROUP BY 1, 2")(lambda t: keep_last(t.tool_uses, ("session_id", "tool_name"), "seq").select("session_id", "tool_name", "seq"))
-_query("snk05_first_result_wins", "SELECT session_id, min(seq) AS seq FROM tool_results GROUP BY 1")(
-    lambda t: keep_first(t.tool_results, ("session_id",), "seq").select("session_id", "seq"))
+_query("snk05_first_result_wins", """SELECT source, session_id, tool_use_id, min(seq) AS seq, arg_min(est_result_tokens, seq) AS est_result_tokens FROM (
+  SELECT * FROM tool_results UNION ALL SELECT source, session_id, tool_use_id, ts, est_result_tokens + 1, is_error, seq + 1000 FROM tool_results) GROUP BY 1, 2, 3""")(
+    lambda t: keep_first(_repeated(t.tool_results), CALL, "seq").select(*CALL, F.col("seq").cast("bigint").alias("seq"), "est_result_tokens"))
 _query("snk06_pending_pruned", "SELECT count(*) AS pending FROM (SELECT * FROM tool_uses ANTI JOIN tool_events USING (source, session_id, tool_use_id)) WHERE substr(ts, 1, 10) >= '2024-01-01'")(
     lambda t: tools.prune(tools.pending(t.tool_uses, t.tool_events), AS_OF).agg(F.count("*").alias("pending")))
 
 
+def _repeated(results: DataFrame) -> DataFrame:
+    """Every result and a later one of the same call."""
+    later = results.withColumns({"seq": F.col("seq") + 1000, "est_result_tokens": F.col("est_result_tokens") + 1})
+    return later.unionByName(results)
+
+
 def _by_tool(where: str) -> str:
     return f"""SELECT *, CASE WHEN sum(est_total_tokens) OVER () > 0 THEN CAST(100 AS DOUBLE) * est_total_tokens / CAST(sum(est_total_tokens) OVER () AS DOUBLE) ELSE 0.0 END AS share_pct FROM (SELECT tool_name, count(*) AS calls,
       CAST(sum(est_args_tokens) AS BIGINT) AS est_args_tokens, CAST(sum(est_result_tokens) AS BIGINT) AS est_result_tokens, CAST(sum(est_args_tokens + est_result_tokens) AS BIGINT) AS est_total_tokens
@@ -189,7 +197,7 @@ for _kind, _flt in (("", api.Filter()), ("_days", DAYS), ("_narrow", NARROW)):
     _query(f"agg16_savings_window{_kind}", _savings(_flt))(lambda t, f=_flt: api.savings_window(t.merged, t.savings, f))
     _query(f"agg17_savings_daily{_kind}", _savings_daily(_flt))(lambda t, f=_flt: api.savings_daily(t.merged, t.savings, f))
 _query("agg18_machines", """SELECT machine_id, max(ts) AS last_seen, count(*) AS event_count, arg_max(label, ts) AS label, machine_id = 'mach0' AS is_current FROM (SELECT machine_id, ts, max(machine_name) OVER (PARTITION BY machine_id, ts) AS label FROM merged)
-  GROUP BY machine_id""")(lambda t: sync.machines(t.merged.withColumn("machine_name", F.expr("max(machine_name) OVER (PARTITION BY machine_id, ts)")), "mach0").withColumnRenamed("machine_name", "label"))
+  GROUP BY machine_id""")(lambda t: sync.machines(t.merged, "mach0").withColumnRenamed("machine_name", "label"))
 _PREF = "usage u LEFT JOIN prefs ON name = coalesce(project_label, project)"
 _query("agg19_pending_push", f"SELECT count(*) AS pending FROM {_PREF} WHERE id > 4000 AND NOT coalesce(excluded, false)")(lambda t: sync.pending_count(t.usage, t.prefs, 4000))
 _query("set03_to_push", "SELECT id, dirty FROM usage WHERE id > 4000 OR dirty")(lambda t: sync.to_push(t.usage, 4000).select("id", "dirty"))
