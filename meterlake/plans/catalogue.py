@@ -194,8 +194,8 @@ def _savings_daily(flt: api.Filter) -> str:
 
 
 for _kind, _flt in (("", api.Filter()), ("_days", DAYS), ("_narrow", NARROW)):
-    _query(f"agg16_savings_window{_kind}", _savings(_flt))(lambda t, f=_flt: api.savings_window(t.merged, t.savings, f))
-    _query(f"agg17_savings_daily{_kind}", _savings_daily(_flt))(lambda t, f=_flt: api.savings_daily(t.merged, t.savings, f))
+    _query(f"agg16_savings_window{_kind}", _savings(_flt))(lambda t, f=_flt: api.savings_window(t.stored("merged"), t.stored("savings"), f))
+    _query(f"agg17_savings_daily{_kind}", _savings_daily(_flt))(lambda t, f=_flt: api.savings_daily(t.stored("merged"), t.stored("savings"), f))
 _query("agg18_machines", """SELECT machine_id, max(ts) AS last_seen, count(*) AS event_count, arg_max(label, ts) AS label, machine_id = 'mach0' AS is_current FROM (SELECT machine_id, ts, max(machine_name) OVER (PARTITION BY machine_id, ts) AS label FROM merged)
   GROUP BY machine_id""")(lambda t: sync.machines(t.merged, "mach0").withColumnRenamed("machine_name", "label"))
 _PREF = "usage u LEFT JOIN prefs ON name = coalesce(project_label, project)"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -15,6 +16,7 @@ from ..operators.api import merged_events
 from ..operators.attribution import attribute
 from ..operators.dedup import keep_highest, keep_highest_remote
 from ..operators.tools import est_tokens, pair
+from ..streaming.store import shared_folder
 
 AS_OF = "2024-01-31T00:00:00Z"
 SOURCES = ("claude_code", "codex", "opencode", "hermes")
@@ -50,6 +52,13 @@ class Ledger:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def stored(self, name: str) -> DataFrame:
+        """One of these tables, written once, as a ledger has it: what reads it several times doesn't derive it again."""
+        df = getattr(self, name)
+        place = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(place)
+        return self.spark.read.schema(df.schema).parquet(place)
+
     @cached_property
     def events(self) -> DataFrame:
         e = self.table("events")
