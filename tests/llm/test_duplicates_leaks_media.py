@@ -157,6 +157,29 @@ def test_no_close_pair_of_a_key_is_lost():
     assert not forest and {(max(p), min(p)) for p in pairs.tolist()} == {(i, j) for i, j in want if root[i] != root[j]}
 
 
+def test_recall_of_near_copies():
+    """Of pairs whose five-word shingles are similar by 0.8 or a little more, nine in ten share a key within the radius."""
+    rng, golay, found, n = random.Random(13), simhash.Golay(), 0, 0
+    while n < 250:
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([40, 120, 400, 900]))]
+        other = list(words)
+        for _ in range(max(1, round(len(words) * rng.uniform(0.015, 0.024)))):
+            other[rng.randrange(len(words))] = f"x{rng.randrange(10**9)}"
+        one, two = (simhash.shingle_hashes(" ".join(w).encode(), 5) for w in (words, other))
+        both = len(np.intersect1d(one, two))
+        if not 0.8 <= both / (len(np.unique(one)) + len(np.unique(two)) - both) < 0.88:
+            continue
+        n += 1
+        prints = np.array([simhash.two_prints(np.unique(h)) for h in (one, two)]).view(np.uint64)
+        near = np.bitwise_count(prints[0] ^ prints[1]).sum() <= 31
+        for kind in (0, 1):
+            row, key = simhash.pair_keys(prints[:, kind].copy(), golay, kind)
+            if near and set(key[row == 0].tolist()) & set(key[row == 1].tolist()):
+                found += 1
+                break
+    assert found >= 0.9 * n
+
+
 def leaks(spark, docs, items, **kw):
     d = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(docs)], SCHEMA)
     b = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
