@@ -33,7 +33,7 @@ def log(rng, name, n, pieces, scans):
     return rows
 
 
-@pytest.mark.parametrize("scans", [1, 2, 5])
+@pytest.mark.parametrize("scans", [1, 4])
 def test_any_cut_gives_the_events_of_the_whole_file(spark, scans):
     rng = random.Random(scans)
     rows = [r for f in range(40) for r in log(rng, f"f{f}", rng.randrange(1, 60), rng.choice([1, 3, 20]), scans)]

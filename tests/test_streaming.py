@@ -178,7 +178,7 @@ def ledger_of(spark, texts, rolls):
     return usage, calls
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_scans_of_a_growing_log_equal_one_pass(spark, tmp_path, seed):
     rng = random.Random(seed)
     logs, rolls = tmp_path / "logs", tmp_path / "rolls"
