@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.costs import price
-from ..operators import api, cube, distinct, pages
+from ..operators import api, cube, distinct, pages, windows
 from ..operators.dedup import USAGE_KEY
 from ..operators.tools import CALL
 from ..sources import carried
 from ..streaming import attributing, pairing
 from ..streaming.scan import merge_usage
 from ..streaming.store import Store, shared_folder
-from .catalogue import _BY_SESSION, _ROLLOUT, _SESSIONS, _SUMS, _micro, _query, _report
+from .catalogue import _BY_SESSION, _NOW, _ROLLOUT, _SESSIONS, _SUMS, _micro, _plan, _query, _report
 from .projection import MODELS, Ledger, _sql_pick
 
 
@@ -23,7 +23,7 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _usage_store(t: Ledger) -> Store:
+def _usage_store(t: Ledger, with_seconds: bool = False) -> Store:
     """The ledger after three commits: even events, odd ones (each the second version of a key), and all once more; beside the usage
     table the cells of its sums, which only learn what has changed."""
     spark = t.spark
@@ -35,12 +35,23 @@ def _usage_store(t: Ledger) -> Store:
         before = writer.store.read("usage", at=change.base, buckets=touched)
         changed = cube.delta(before, change.read("usage", touched))
         change.upsert("cells", changed, cube.CELL, cube.add, buckets=8)
+        if with_seconds:
+            change.upsert("seconds", windows.delta(before, change.read("usage", touched)), windows.SECOND, windows.add, buckets=8)
         change.commit()
     return writer.store
 
 
 _query("snk01_usage_store", f"""SELECT id, source, message_id, request_id, session_id, ts, model, {', '.join(_SUMS)}, CAST(round(cost_usd * 1000000) AS BIGINT) AS est_cost_microusd, dirty FROM usage""")(
     lambda t: _usage_store(t).read("usage").select("id", "source", "message_id", "request_id", "session_id", "ts", "model", *_SUMS, F.round(F.col("cost_usd") * 1_000_000).cast("bigint").alias("est_cost_microusd"), "dirty"))
+
+
+def _windows_kept(t: Ledger) -> DataFrame:
+    pulled = windows.seconds(t.merged.filter("machine_id LIKE 'far%'"))  # other machines' events, which come whole
+    kept = windows.add(_usage_store(t, with_seconds=True).read("seconds"), pulled)
+    return api.plan_windows(windows.as_events(kept), api.Filter(agent="codex"), _NOW, limits=(1_000_000, 1_000_000))
+
+
+_query("str08_plan_windows_kept", _plan("cost_basis = 'estimated'"))(_windows_kept)
 _query("str01_daily_kept", _report("substr(ts, 1, 10)"))(lambda t: _micro(cube.daily(_usage_store(t).read("cells"))))
 _query("str01_sessions_kept", _report("session_id", "saved", join=_BY_SESSION))(lambda t: _micro(cube.sessions(_usage_store(t).read("cells"), t.savings)))
 

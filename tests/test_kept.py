@@ -7,8 +7,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from meterlake.operators import distinct
+from meterlake.operators import api, distinct, windows
 from meterlake.operators.attribution import attribute
+from meterlake.plans.schema import TOKENS
 from meterlake.sources import databases, sqlite
 from meterlake.streaming import attributing, gate, scan
 
@@ -174,3 +175,24 @@ def test_distinct_counts_of_any_days(spark):
         picked = known.filter(F.col("day").between(first, last) & (F.lit(True) if source is None else F.col("source") == source))
         want = tuple(len({r[k] for r in chosen} - {None}) for k in (2, 3, 4))
         assert tuple(distinct.counts(picked).first()) == want
+
+
+def test_windows_equal_those_over_all_events_at_each_trigger(spark):
+    rng = random.Random(8)
+    schema = "id bigint, ts string, source string, cost_basis string, project_label string, machine_id string, " + ", ".join(f"{c} bigint" for c in TOKENS)
+    hour = lambda h: f"2026-03-{1 + h // 24:02d}T{h % 24:02d}:{rng.randrange(60):02d}:{rng.randrange(60):02d}.123Z"
+    row = lambda k, h: (k, hour(h), rng.choice(["claude_code", "codex"]), rng.choice(["estimated", "estimated", "logged"]), "p", "m", *(rng.randrange(50) for _ in TOKENS))
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    now, kept = {}, None
+    for h in (30, 100, 240):
+        batch = [row(k, max(0, h - rng.randrange(60))) for k in range(h, h + 25)]  # late ones too
+        batch += [row(k, max(0, h - rng.randrange(200))) for k in rng.sample(sorted(now), min(8, len(now)))]  # replaced
+        was = [now[r[0]] for r in batch if r[0] in now]
+        now |= {r[0]: r for r in batch}
+        grown = windows.add(kept, windows.delta(frame(was) if was else None, frame(batch)))
+        kept = spark.createDataFrame(grown.collect(), grown.schema)
+        for as_of in (hour(h)[:19] + "Z", hour(h + 3)[:19] + "Z"):
+            for override in (None, "subscription"):
+                got = api.plan_windows(windows.as_events(kept), api.Filter(), as_of, limits=(1000, 5000), override=override)
+                want = api.plan_windows(frame(list(now.values())), api.Filter(), as_of, limits=(1000, 5000), override=override)
+                assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
