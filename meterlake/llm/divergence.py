@@ -9,7 +9,8 @@ than its language.
 Counts are added up in the tasks that read the texts and then by (language, term), one row a term with the counts of its
 sources. Terms are dealt into blocks of about ``terms`` and sources into blocks of about ``sources``; a tile is a pair of
 blocks of sources and a block of terms. For each, numpy fills two dense int64 matrices, group by term, and computes all
-pairs by broadcasting, a few terms at a time; what comes out is a partial sum a pair, and the first terms of each source. Partial
+pairs by broadcasting, a few terms at a time; what comes out is a partial sum a pair, and the first terms of each source. The
+block's terms that no source of the tile has are all alike: their difference is computed once and counted as often. Partial
 sums are added up and first terms merged by Spark. No tile depends on the number of documents, and a source with a
 third of them is one row of a matrix as any other. The table of languages is broadcast if it is small, else joined by a shuffle.
 
@@ -124,7 +125,7 @@ def _tile(top: int):
         lang, left, right = (k.as_py() for k in key[:3])
         rows: list[tuple] = []
         sources, block, total = (groups.column(c).to_pylist() for c in ("source", "block", "total"))
-        terms_of_lang, lang_total = groups.column("terms")[0].as_py(), groups.column("lang_total")[0].as_py()
+        terms_of_lang, lang_total, in_block = (groups.column(c)[0].as_py() for c in ("terms", "lang_total", "in_block"))
         found = sorted(set(entries.column("term").to_pylist()), key=lambda x: x.encode())
         place = {t: k for k, t in enumerate(found)}
         every = np.zeros(len(found), np.int64)
@@ -141,6 +142,9 @@ def _tile(top: int):
         p = {b: shares(c, n[:, None], terms_of_lang) for b, (_, c, n) in sides.items()} if found else {b: c for b, (_, c, _) in sides.items()}
         one, two = sides[left][0], sides[right][0]
         sums = pair_sums(p[left], p[right])
+        if in_block > len(found):  # terms that only sources of other blocks have: a share of none depends on the source's total
+            none = {b: shares(np.zeros(len(n), np.int64), n, terms_of_lang) for b, (_, _, n) in sides.items()}
+            sums += (in_block - len(found)) * differ(none[left][:, None], none[right][None, :])
         rows += [(lang, "pair", a, b, int(sums[i, j])) for i, a in enumerate(one) for j, b in enumerate(two) if left != right or i < j]
         if left == right and found:
             q = shares(every, lang_total, terms_of_lang)
@@ -184,6 +188,7 @@ def divergence(
     partners = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("partner")
     tile = [F.least("block", "partner").alias("left"), F.greatest("block", "partner").alias("right")]
     placed = kept.join(langs, "lang").withColumn("term_block", F.pmod(F.xxhash64("term"), F.col("term_blocks")).cast("int"))
+    in_block = placed.groupBy("lang", "term_block").agg(F.count("*").alias("in_block"))
     dealt = placed.withColumn("block", F.explode(F.array_distinct(F.transform("each", lambda x: own(x["source"])))))
     mine = F.filter("each", lambda x: own(x["source"]) == F.col("block"))
     entries = dealt.select("lang", "term_block", "term", "n", mine.alias("each"), "block", partners).select("lang", *tile, "term_block", "term", "n", "each")
@@ -191,7 +196,8 @@ def divergence(
         "lang", "source", F.coalesce("total", F.lit(0)).alias("total"), "terms", "lang_total", "term_blocks", own("source").alias("block"), "blocks"
     )
     meta = known.select("*", partners).select("*", F.explode(F.sequence(F.lit(0), F.col("term_blocks") - 1)).alias("term_block"))
-    meta = cut(meta.select("lang", *tile, "term_block", "source", "block", "total", "terms", "lang_total"))
+    meta = meta.join(in_block, ["lang", "term_block"], "left").withColumn("in_block", F.coalesce("in_block", F.lit(0)))
+    meta = cut(meta.select("lang", *tile, "term_block", "source", "block", "total", "terms", "lang_total", "in_block"))
     keys = ["lang", "left", "right", "term_block"]
     found = cut(entries.groupBy(*keys).cogroup(meta.groupBy(*keys)).applyInArrow(_tile(top), _TILE))
 

@@ -63,6 +63,14 @@ def test_divergence_equals_plain_sums(spark, sizes):
     assert set(map(tuple, got)) == brute_divergence(rows, 5, 4)
 
 
+def test_terms_that_no_source_of_a_tile_has_count_in_its_pairs(spark):
+    own = {s: [f"{s}{chr(97 + k)}" for k in range(n)] for s, n in (("aa", 3), ("bb", 7), ("cc", 12), ("dd", 1))}
+    rows = [(k, " ".join(own[s] * (1 + k % 3)), "en", s, 1) for k, s in enumerate(own)]
+    for sources in (1, 2, 64):
+        got = divergence.divergence(spark.createDataFrame(rows, SCHEMA), min_docs=1, top=4, terms=2, sources=sources).collect()
+        assert set(map(tuple, got)) == brute_divergence(rows, 1, 4)
+
+
 def test_divergence_of_odd_rows(odd, odd_rows, empty):
     assert set(map(tuple, divergence.divergence(odd, min_docs=2).collect())) == brute_divergence(odd_rows, 2, 10)
     assert divergence.divergence(empty).count() == 0
