@@ -9,11 +9,12 @@ which bounds the overlap from above, thin them out; the rest is verified on the
 line at least as similar as t stands before it, by document id and line number.
 
 Lines of equal word sets are one class from the start, so copies are never paired, and classes are numbered in the order
-of their first lines. A large group of similar lines costs in proportion to its size: in every list of a prefix token of
-``long_list`` or more, each class is first compared with the earliest one, and what that removes needs no other match. A
+of their first lines. All links between different classes are counted. If only what goes is asked for (``links=False``), a large
+group of similar lines costs in proportion to its size: in every list of a prefix token of ``long_list`` or more, each class is first compared with the earliest one, and what that removes needs no other match. A
 class's candidates are verified earliest first, the others only if that fails.
 
-Only DataFrame functions run on the executors; the driver turns the collected table of bucket levels into a constant. Word sets are told apart by 64 bits of XXH64 and words, when verified, by 64 bits each: of
+Only DataFrame functions run on the executors; the driver turns the collected table of bucket levels into one value.
+Word sets are told apart by 64 bits of XXH64 and words, when verified, by 64 bits each: of
 n different sets about n * n / 2**65 pairs would be taken for one. Prefixes have 32 bits, which can only add candidates.
 
 Defined cases: lines without a word match nothing and stay; null texts have no lines and stay null; null ids come
@@ -47,15 +48,17 @@ def word_set(line: Column) -> Column:
 
 
 def token_levels(sets: DataFrame) -> Column:
-    """A binary constant: for each bucket of tokens a byte that rises with the logarithm of its count over all lines."""
+    """A binary value: for each bucket of tokens a byte that rises with the logarithm of its count over all lines. It is a scalar
+    subquery, as the plan's text, of which the driver keeps many copies, would spell out a literal."""
     each = sets.select(F.explode("tokens").alias("x")).select(F.col("x").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket"))
     level = F.least(F.lit(_LEVELS - 1), F.floor(F.log2(F.count("*")))).cast("tinyint")
     counted = each.groupBy("bucket").agg(level.alias("level")).toArrow()  # one row a bucket at most, 5 bytes each
     table = np.full(BUCKETS, ord("0"), np.uint8)
     table[counted["bucket"].to_numpy()] += counted["level"].to_numpy().astype(np.uint8)
-    del counted
+    one = cut(sets.sparkSession.createDataFrame([(bytearray(table.tobytes()),)], "levels binary"))
+    del counted, table
     release()
-    return F.lit(bytearray(table.tobytes()))
+    return one.scalar()
 
 
 def _level(levels: Column, token: Column) -> Column:
@@ -94,7 +97,9 @@ def _numbered_classes(sets: DataFrame, t: float) -> DataFrame:
     """One row a word set: ``c`` rises with the place of its first line; prefix and bitmap of those that can match another."""
     levels = token_levels(sets)
     place = F.struct(F.col("_id").isNull().alias("last"), F.col("_id").alias("id"), F.col("_row").alias("row"), F.col("line_no").alias("line"))
-    ranked = F.transform("tokens", lambda x: x.cast("bigint") + F.shiftleft(_level(levels, x).cast("bigint"), 32))
+    # A lambda may not hold a subquery before the plan is optimized; the column is put into its place then.
+    sets = sets.withColumn("levels", levels)
+    ranked = F.transform("tokens", lambda x: x.cast("bigint") + F.shiftleft(_level(F.col("levels"), x).cast("bigint"), 32))
     rarest = F.transform(F.slice(F.sort_array(ranked), F.lit(1), F.expr(_need("n", t))), lambda x: (x.bitwiseAND(F.lit(0xFFFFFFFF)) - (1 << 31)).cast("int"))
     alone = F.lit(t >= 1) | (F.col("n") < t / max(1 - t, 1e-9) - 1e-9)  # sets this small are similar to none but themselves
     prefix = F.when(alone, F.array().cast("array<int>")).otherwise(rarest)
@@ -104,25 +109,40 @@ def _numbered_classes(sets: DataFrame, t: float) -> DataFrame:
     return cut(classes.repartitionByRange("place").sortWithinPartitions("place").withColumn("c", F.monotonically_increasing_id()))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, lines: DataFrame, t: float, small: int) -> DataFrame:
-    """For each x of the pairs (x, y) that is similar to a y: (x, match), where match is the earliest y if that is similar,
-    else the earliest similar one of the others. Places of up to ``small`` classes (three numbers each) are broadcast."""
+def _sets_of(pairs: DataFrame, classes: DataFrame, lines: DataFrame, small: int) -> DataFrame:
+    """(c, s): the whole word sets of the pairs' classes."""
     wanted = pairs.select(F.col("x").alias("c")).union(pairs.select("y")).distinct()
     where = cut(wanted.join(classes, "c").select("c", F.col("place.row").alias("_row"), F.col("place.line").alias("line_no")))
     found = lines.join(F.broadcast(where) if where.count() <= small else where, ["_row", "line_no"])
-    sets = cut(found.select("c", word_set(F.col("line")).alias("s")))
+    return cut(found.select("c", word_set(F.col("line")).alias("s")))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
+    """Those of the pairs (x, y) whose word sets are as similar as t."""
+    one, two = (sets.select(F.col("c").alias(k), F.col("s").alias(f"{k}_s")) for k in ("x", "y"))
+    both = F.size(F.array_intersect("x_s", "y_s"))
+    alike = pairs.join(one, "x").join(two, "y").filter(both >= F.lit(t) * (F.size("x_s") + F.size("y_s") - both) - 1e-9)
+    return alike.select("x", "y")
 
-    def similar(some: DataFrame) -> DataFrame:
-        one, two = (sets.select(F.col("c").alias(k), F.col("s").alias(f"{k}_s")) for k in ("x", "y"))
-        both = F.size(F.array_intersect("x_s", "y_s"))
-        alike = some.join(one, "x").join(two, "y").filter(both >= F.lit(t) * (F.size("x_s") + F.size("y_s") - both) - 1e-9)
-        return cut(alike.groupBy("x").agg(F.min("y").alias("match")))
 
+def _verified(pairs: DataFrame, classes: DataFrame, lines: DataFrame, t: float, small: int) -> DataFrame:
+    """For each x of the pairs (x, y) that is similar to a y: (x, match), where match is the earliest y if that is similar,
+    else the earliest similar one of the others. Places of up to ``small`` classes (three numbers each) are broadcast."""
+    sets = _sets_of(pairs, classes, lines, small)
+    similar = lambda some: cut(_similar(some, sets, t).groupBy("x").agg(F.min("y").alias("match")))
     first = similar(pairs.groupBy("x").agg(F.min("y").alias("y")))
     others = pairs.join(first, "x", "left_anti")
     return first.union(similar(others))
 
 
+def _linked(pairs: DataFrame, classes: DataFrame, lines: DataFrame, t: float, small: int) -> DataFrame:
+    """(x, match, links) of all classes that are similar to another one: how many, and the earliest if that is earlier than x."""
+    sets = _sets_of(pairs, classes, lines, small)
+    alike = cut(_similar(pairs, sets, t))
+    each = alike.union(alike.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    return cut(each.groupBy("x").agg(F.min(F.when(F.col("y") < F.col("x"), F.col("y"))).alias("match"), F.count("*").alias("links")))
+
+
 def _led(posting: DataFrame, classes: DataFrame, lines: DataFrame, t: float, small: int, long_list: int, rounds: int) -> DataFrame | None:
     """(x, match) of classes in long lists of a token that are similar to the earliest class of such a list. Those removed
     leave the lists, and what is left is compared with its own earliest one, ``rounds`` times at most; the rest of the
@@ -147,12 +167,13 @@ def _led(posting: DataFrame, classes: DataFrame, lines: DataFrame, t: float, sma
 
 def similar_lines(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, small: int = 1_000_000,
-    long_list: int = 128, rounds: int = 1,
+    long_list: int = 128, rounds: int = 1, links: bool = True,
 ) -> DataFrame:
-    """One row a line with words: (id, _row, line_no, class_id, match_id, removed).
+    """One row a line with words: (id, _row, line_no, class_id, match_id, removed), and n_links if ``links``.
 
     ``class_id`` names the line's word set; ``match_id`` is that of an earlier similar set, if there is one: the line's
-    representative pair. ``removed`` lines are copies of an earlier line or have such a match. ``_row`` is the document's
+    representative pair, the earliest one if ``links``. ``n_links`` is how many other sets are similar, all pairs of a large group
+    of similar lines among them; without it a group costs in proportion to its size. ``removed`` lines are copies of an earlier line or have such a match. ``_row`` is the document's
     place in the input; an input that isn't read plainly from files is written first.
     """
     t = similarity
@@ -172,8 +193,8 @@ def similar_lines(
         return every.select("token", "c", "bits", (F.shiftleft(F.col("n").cast("bigint"), 32) + F.shiftleft(F.col("at").cast("bigint"), 2) + fewer).alias("meta"))
 
     # A quarter of the tokens is enough to find large groups; one missed is left to the main join.
-    some = postings(classes.withColumn("open", F.lit(True))).filter("meta & 1 = 1 AND token & 3 = 0").select("token", "c", F.shiftright("meta", 32).alias("n"), "bits")
-    known = _led(some, classes, lines, t, small, long_list, rounds)
+    some = None if links else postings(classes.withColumn("open", F.lit(True))).filter("meta & 1 = 1 AND token & 3 = 0").select("token", "c", F.shiftright("meta", 32).alias("n"), "bits")
+    known = None if some is None else _led(some, classes, lines, t, small, long_list, rounds)
     settled = None if known is None else known.select(F.col("x").alias("c"), F.lit(True).alias("settled"))
     open_ = classes.withColumn("settled", F.lit(None).cast("boolean")) if settled is None else classes.join(settled, "c", "left")
     open_ = open_.withColumn("open", F.col("settled").isNull())
@@ -186,22 +207,23 @@ def similar_lines(
     pairs = _side(every, "x", "token").join(_side(every.filter("meta & 1 = 1"), "y", "token"), "token").filter(F.expr(test))
     pairs = pairs.select(F.greatest("x_c", "y_c").alias("x_c"), F.least("x_c", "y_c").alias("y_c"))
     pairs = cut(pairs.select(F.col("x_c").alias("x"), F.col("y_c").alias("y")).distinct())
-    matches = _verified(pairs, classes, lines, t, small)
+    matches = _linked(pairs, classes, lines, t, small) if links else _verified(pairs, classes, lines, t, small)
     matches = matches if known is None else matches.union(known)
+    counts = ["links"] if links else []
     named = classes.select(F.col("c").alias("match"), F.col("set_id").alias("match_id"))
-    match = matches.join(named, "match").select(F.col("x").alias("c"), "match_id")
-    known_sets = classes.select("c", "set_id", "place").join(match, "c", "left").select("set_id", "match_id", F.col("place.row").alias("_r"), F.col("place.line").alias("_l"))
+    match = matches.join(named, "match", "left").select(F.col("x").alias("c"), "match_id", *counts)
+    known_sets = classes.select("c", "set_id", "place").join(match, "c", "left").select("set_id", "match_id", *counts, F.col("place.row").alias("_r"), F.col("place.line").alias("_l"))
     copy = (F.col("_row") != F.col("_r")) | (F.col("line_no") != F.col("_l"))
     return sets.select("_id", "_row", "line_no", "set_id").join(known_sets, "set_id").select(
         F.col("_id").alias(id_col), "_row", F.col("line_no").cast("bigint").alias("line_no"), F.col("set_id").alias("class_id"), "match_id",
-        (copy | F.col("match_id").isNotNull()).alias("removed"),
+        (copy | F.col("match_id").isNotNull()).alias("removed"), *(F.coalesce(c, F.lit(0)).cast("bigint").alias(f"n_{c}") for c in counts),
     )
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, drop_emptied: bool = True) -> DataFrame:
     """``docs`` without the removed lines; a document that loses its last line with words goes if ``drop_emptied``."""
     docs, row, gone = stable(docs), free_name(docs, "_row"), free_name(docs, "_gone")
-    lines = similar_lines(docs, id_col=id_col, text_col=text_col, similarity=similarity)
+    lines = similar_lines(docs, id_col=id_col, text_col=text_col, similarity=similarity, links=False)
     found = lines.filter("removed").groupBy(F.col("_row").alias(row)).agg(F.collect_set(F.col("line_no").cast("int")).alias(gone))
     kept = docs.withColumn(row, F.monotonically_increasing_id()).join(found, row, "left")
     text = F.expr(f"array_join(filter(split(`{text_col}`, '\n'), (x, i) -> NOT array_contains({gone}, i)), '\n')")

@@ -86,7 +86,7 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linededup import similar_lines
 
-    return similar_lines(documents(spark, sf_dir)).select("doc_id", "line_no", "class_id", "match_id", "removed")
+    return similar_lines(documents(spark, sf_dir)).select("doc_id", "line_no", "class_id", "match_id", "removed", "n_links")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

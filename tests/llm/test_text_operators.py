@@ -275,6 +275,19 @@ def test_a_large_group_of_near_lines_makes_few_pairs(spark):
     assert sorted((r.doc_id, r.removed) for r in got) == sorted((d, gone) for d, _, _, gone in brute_lines(rows))
 
 
+def test_no_link_between_different_lines_is_lost(spark):
+    base = [f"w{k}" for k in range(20)]
+    rows = [(k, "\n".join([" ".join([*base[: k % 20], f"own{k % 90}", *base[k % 20 + 1 :]]), f"alone{k} x"]), "en", "s", 1) for k in range(150)]
+    df, brute = spark.createDataFrame(rows, SCHEMA), sorted(brute_lines(rows))
+    for kind in ({}, {"small": 0}, {"long_list": 8}):
+        got = linededup.similar_lines(df, **kind).collect()
+        assert sorted((r.doc_id, r.line_no, r.n_links, r.removed) for r in got) == brute
+    assert sum(n for _, _, n, _ in brute) > 10_000
+    for kind in ({"long_list": 8}, {"long_list": 2, "small": 0}):
+        got = linededup.similar_lines(df, links=False, **kind).collect()
+        assert sorted((r.doc_id, r.line_no, r.removed) for r in got) == [(d, n, gone) for d, n, _, gone in brute]
+
+
 def test_line_dedup_of_odd_rows(odd, odd_rows, empty):
     kept = linededup.dedup_lines(odd)
     assert kept.columns == odd.columns
