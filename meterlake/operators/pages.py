@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _RANGE = "_range"
+#: Ranges at most: the driver samples rows for their bounds, writes each as a task's folder and adds up their counts.
+MOST_RANGES = 256
 _COUNTS = f"{_RANGE} int, count bigint"
 
 
@@ -28,13 +30,17 @@ class Order:
 
 
 def lay_out(rows: DataFrame, folder: str, order: list[Order], rows_per_range: int = 100_000) -> int:
-    """Writes the rows in ranges of about so many; how many rows there are. The last columns of the order should tell all rows apart."""
+    """Writes the rows in ranges of about so many, or of more if that makes over ``MOST_RANGES``; how many rows there are. The last
+    columns of the order should tell all rows apart. The rows are computed once."""
     by = [o.expr() for o in order]
-    spark, total = rows.sparkSession, rows.count()
+    spark, schema = rows.sparkSession, rows.schema
+    rows.write.parquet(f"{folder}/unsorted")
+    rows = spark.read.schema(schema).parquet(f"{folder}/unsorted")
+    total = rows.count()
     if not total:
         spark.createDataFrame([], _COUNTS).write.parquet(f"{folder}/counts")
         return 0
-    n = math.ceil(total / rows_per_range)
+    n = min(math.ceil(total / rows_per_range), MOST_RANGES)
     dealt = rows.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn(_RANGE, F.spark_partition_id())
     dealt.write.partitionBy(_RANGE).parquet(f"{folder}/rows")
     spark.read.parquet(f"{folder}/rows").groupBy(_RANGE).count().coalesce(1).write.parquet(f"{folder}/counts")

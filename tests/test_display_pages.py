@@ -59,3 +59,22 @@ def test_pages_equal_a_sorted_whole(spark, tmp_path, n):
         number += 1
     assert got == want
     assert pages.page(spark, str(tmp_path), order, schema, 0, 10_000).count() == min(n, 500)
+
+
+def test_ranges_are_bounded_and_rows_computed_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pages, "MOST_RANGES", 4)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.range(1000).withColumn("x", F.col("id") % 7).mapInArrow(count, "id bigint, x bigint")
+    order = [pages.Order("x", falling=True), pages.Order("id")]
+    assert pages.lay_out(rows, str(tmp_path / "p"), order, rows_per_range=10) == 1000
+    assert seen.value == 1000
+    assert spark.read.parquet(str(tmp_path / "p" / "counts")).count() <= 4
+    want = sorted(range(1000), key=lambda k: (-(k % 7), k))
+    got = [r.id for n in (1, 7, 20, 21) for r in pages.page(spark, str(tmp_path / "p"), order, "id bigint, x bigint", n, 50).collect()]
+    assert got == [*want[:50], *want[300:350], *want[950:]]
