@@ -26,17 +26,25 @@ def _folder(spark: SparkSession, name: str) -> str:
 def _usage_store(t: Ledger, with_seconds: bool = False) -> Store:
     """The ledger after three commits: even events, odd ones (each the second version of a key), and all once more; beside the usage
     table the cells of its sums, which only learn what has changed."""
-    spark = t.spark
-    writer = Store(spark, _folder(spark, "usage")).writer()
+    spark, top = t.spark, _folder(t.spark, "usage")
+    writer = Store(spark, top).writer()
     raw = price(t.usage_raw)
+
+    def written(df: DataFrame) -> DataFrame:
+        """What a change reads several times is computed once."""
+        place = f"{top}/batches/{uuid.uuid4().hex}"
+        df.write.parquet(place)
+        return spark.read.schema(df.schema).parquet(place)
+
     for batch in (raw.filter("ingest_seq % 2 = 0"), raw.filter("ingest_seq % 2 = 1"), raw.withColumn("ingest_seq", F.col("ingest_seq") + (1 << 40))):
         change = writer.start()
-        touched = change.upsert("usage", batch, USAGE_KEY, merge_usage, buckets=8)
+        touched = change.upsert("usage", written(batch), USAGE_KEY, merge_usage, buckets=8)
         before = writer.store.read("usage", at=change.base, buckets=touched)
-        changed = cube.delta(before, change.read("usage", touched))
+        changed = written(cube.delta(before, change.read("usage", touched)))
         change.upsert("cells", changed, cube.CELL, cube.add, buckets=8)
         if with_seconds:
-            change.upsert("seconds", windows.delta(before, change.read("usage", touched)), windows.SECOND, windows.add, buckets=8)
+            seconds = written(windows.delta(before, change.read("usage", touched)))
+            change.upsert("seconds", seconds, windows.SECOND, windows.add, buckets=8)
         change.commit()
     return writer.store
 

@@ -183,7 +183,8 @@ class Change:
         known = self.read(name, touched)
         merged = merge(known, rows)
         place = f"tables/{name}/v-{uuid.uuid4().hex}"
-        dealt = merged.withColumn(BUCKET, bucket_of(key, buckets)).repartition(BUCKET)
+        # A large bucket is written by several tasks, each of an advisory partition size, so none grows with the table.
+        dealt = merged.withColumn(BUCKET, bucket_of(key, buckets)).hint("rebalance", BUCKET)
         dealt.write.partitionBy(BUCKET).parquet(f"{store.folder}/{place}")
         parts = dict(old["parts"]) if old else {}
         parts = {b: p for b, p in parts.items() if int(b) not in touched}
