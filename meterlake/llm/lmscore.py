@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,10 @@ KNOWN, OTHER, WORD = 0, 1, 2
 
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     """(word, n) over all texts: lower-cased runs without white space."""
-    words = docs.select(F.explode(F.split(F.lower(F.col(text_col)), r"\s+")).alias("word"))
+    text = F.lower(F.col(text_col))
+    for space in "\t\n\x0b\f\r":  # a split at one blank needs no regular expression
+        text = F.replace(text, F.lit(space), F.lit(" "))
+    words = docs.select(F.explode(F.split(text, " ")).alias("word"))
     return words.filter("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
 
 
@@ -90,7 +94,7 @@ def backoff_scores(
         for batch in batches:
             for _, block in text_slices(batch.column(0)):
                 split = [t.split() for t in block]
-                flat = np.fromiter((heads.get(w, -1) for ws in split for w in ws), np.int64)
+                flat = np.fromiter(map(heads.get, chain.from_iterable(split), repeat(-1)), np.int64)
                 _, second = pairs(np.cumsum([0] + [len(ws) for ws in split]))
                 table += np.bincount(cells(flat[second - 1], flat[second]) % len(table), minlength=len(table))
         found = np.flatnonzero(table[:-1])
@@ -114,8 +118,8 @@ def backoff_scores(
                 split = [t.split() for t in block]
                 starts, n = np.cumsum([0] + [len(ws) for ws in split]), len(split)
                 own = row_ids[first : first + n]
-                hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for ws in split for w in ws), np.uint64).view(np.int64)
-                rank = np.fromiter((heads.get(w, -1) for ws in split for w in ws), np.int64)
+                hashes = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(split), repeat(SEED)), np.uint64).view(np.int64)
+                rank = np.fromiter(map(heads.get, chain.from_iterable(split), repeat(-1)), np.int64)
                 ids = np.minimum(np.searchsorted(words, hashes), max(len(words) - 1, 0))
                 known = words[ids] == hashes if len(words) else np.zeros(len(hashes), bool)
                 log = np.where(known, logs[ids] if len(words) else 0.0, 0.0)
