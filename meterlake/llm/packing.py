@@ -16,8 +16,11 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -49,40 +52,61 @@ def best_fit(lengths: np.ndarray, cap: Capacity) -> tuple[np.ndarray, np.ndarray
     bins, offsets = np.full(n, -1, np.int64), np.zeros(n, np.int64)
     order = np.argsort(-lengths, kind="stable")
     smallest = int(lengths.min()) if n else 0
-    room = np.empty((max(n, 1), 3))  # residuals of open bins, as shares of the capacities
+    room = np.empty((3, max(n, 1)))  # residuals of open bins, as shares of the capacities
     ids, used = np.empty(max(n, 1), np.int64), np.zeros(max(n, 1), np.int64)
     n_open = n_bins = 0
     for i in order:
         size = int(lengths[i])
         need = np.array([size, 1, size * size]) / limits
-        left = room[:n_open] - need
-        fits = (left > -1e-12).all(axis=1)
+        open_ = room[:, :n_open]
+        left = open_ - need[:, None]
+        fits = np.flatnonzero(left.min(axis=0) > -1e-12) if n_open else ()
         at = -1
-        if fits.any():
+        if len(fits):
             if cap.rule == "dot":
-                score = -(room[:n_open] * (w * need)).sum(axis=1)
+                score = -(open_[:, fits] * (w * need)[:, None]).sum(axis=0)
             else:
-                score = (w * left * left).sum(axis=1)
-            at = int(np.where(fits, score, np.inf).argmin())
+                left = left[:, fits]
+                score = (w[:, None] * left * left).sum(axis=0)
+            at = int(fits[score.argmin()])
         if at < 0:
             at = n_open
-            room[at], ids[at], n_open, n_bins = 1.0, n_bins, n_open + 1, n_bins + 1
+            room[:, at], ids[at], n_open, n_bins = 1.0, n_bins, n_open + 1, n_bins + 1
             used[ids[at]] = 0
         b = ids[at]
         bins[i], offsets[i] = b, used[b]
         used[b] += size
-        room[at] -= need
-        if (room[at] * limits)[0] < smallest - 1e-6 or (room[at] * limits)[1] < 1 - 1e-6:
+        room[:, at] -= need
+        if room[0, at] * limits[0] < smallest - 1e-6 or room[1, at] * limits[1] < 1 - 1e-6:
             n_open -= 1
-            room[at], ids[at] = room[n_open], ids[n_open]
+            room[:, at], ids[at] = room[:, n_open], ids[n_open]
     return bins, offsets
 
 
+#: How such a tokenizer cuts text, and what that comes to in a lower-cased word of visible ASCII.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+_VISIBLE = re.compile(rb"[!-~]+")
+
+
+def _cuts_so(path_json: dict) -> bool:
+    """Whether visible ASCII is cut as ``_PARTS`` says and each part then goes to the model as it is."""
+    steps = (path_json.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    plain = [x["type"] for x in steps] == ["Split", "ByteLevel"] and not (steps[1]["add_prefix_space"] or steps[1].get("use_regex", True))
+    normal = (path_json.get("normalizer") or {}).get("normalizers") or []
+    return bool(
+        plain and steps[0]["pattern"] == {"Regex": _SPLIT} and steps[0]["behavior"] == "Removed" and steps[0]["invert"]
+        and [x["type"] for x in normal] == ["NFC", "Replace", "Lowercase"] and normal[1]["pattern"] == {"Regex": r"\s+"}
+        and all(x["special"] for x in path_json.get("added_tokens") or [])
+    )
+
+
 class WordEncoder:
     """Token ids of whole texts as little-endian uint32 bytes, remembering each word it has seen.
 
     The tokenizer's words never cross ASCII white space and it lower-cases, so a text's ids are its
-    words' ids in a row. Words unknown so far are encoded together; at most ``max_words`` are kept.
+    words' ids in a row. Words unknown so far are encoded together, those of visible ASCII by their parts, which
+    recur in other words; at most ``max_words`` words, and parts, are kept.
     """
 
     def __init__(self, path: str, end_id: int, max_words: int = 600_000):
@@ -90,9 +114,27 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.end, self.max_words, self.known = np.uint32(end_id).tobytes(), max_words, {}
-
-    def learn(self, words: list[bytes]) -> None:
+        self.end, self.max_words, self.known, self.parts = np.uint32(end_id).tobytes(), max_words, {}, {}
+        with open(path, encoding="utf-8") as file:
+            self.by_parts = _cuts_so(json.load(file))
+
+    def part(self, part: str) -> bytes:
+        found = self.parts[part] = np.array([x.id for x in self.tokenizer.model.tokenize(part)], "<u4").tobytes()
+        return found
+
+    def learn(self, words: Iterable[bytes]) -> None:
+        known, parts, rest = self.known, self.parts, words
+        if self.by_parts:
+            rest = []
+            for w in words:
+                if _VISIBLE.fullmatch(w):
+                    known[w] = b"".join([parts.get(x) or self.part(x) for x in _PARTS.findall(w.decode())])
+                else:
+                    rest.append(w)
+        if rest:
+            self.encode_words(rest)
+
+    def encode_words(self, words: Iterable[bytes]) -> None:
         known, stems = self.known, {}
         for w in words:  # a last , or . after a plain letter is always a token of its own
             if len(w) > 1 and w[-1:] in (b".", b",") and w[-2:-1].isalpha():
@@ -104,7 +146,7 @@ class WordEncoder:
             some = [w.decode("utf-8") for w in new[k : k + 256]]
             e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             starts = np.cumsum([0] + [len(x) + 1 for x in some])
-            at = np.searchsorted(np.fromiter((o[0] for o in e.offsets), np.int64, len(e.ids)), starts)
+            at = np.searchsorted(np.fromiter(map(itemgetter(0), e.offsets), np.int64, len(e)), starts)
             ids = np.array(e.ids, "<u4").tobytes()
             for j, w in enumerate(new[k : k + 256]):
                 known[w] = ids[4 * at[j] : 4 * at[j + 1]]
@@ -113,14 +155,13 @@ class WordEncoder:
                 known[w] = known[w[:-1]] + known[w[-1:]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > self.max_words:
-            self.known.clear()
+        for kept in (self.known, self.parts):
+            if len(kept) > self.max_words:
+                kept.clear()
         split = [(t or "").encode("utf-8").lower().split() for t in texts]
-        new: dict[bytes, None] = {}
-        for ws in split:
-            new.update((w, None) for w in set(ws) if w not in self.known)
+        new = set().union(*split).difference(self.known)
         if new:
-            self.learn(list(new))
+            self.learn(new)
         get = self.known.__getitem__
         return [b"".join(map(get, ws)) + self.end for ws in split]
 

@@ -33,6 +33,12 @@ def test_word_encoder_equals_the_tokenizer(text):
     assert ids == globals()["t"].encode(text, add_special_tokens=False).ids + [0]
 
 
+def test_a_part_of_ascii_words_is_encoded_once(tokenizer):
+    encoder, text = WordEncoder(tokenizer_path(), 0), "(word) word's 'tword [word] word-word2 it's <word>! wörd-word ''s 12a"
+    assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [0]
+    assert encoder.by_parts and {"word", "(", "]", "'s", "1"} <= encoder.parts.keys()
+
+
 @pytest.mark.parametrize("cap", [Capacity(100), Capacity(100, 3, 4000), Capacity(100, rule="dot"), Capacity(100, 4, rule="dot")])
 def test_best_fit_keeps_every_capacity(cap):
     rng = np.random.default_rng(1)
