@@ -25,6 +25,7 @@ result; columns of the input other than id and text are not read by ``similar_li
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,22 +49,22 @@ def word_set(line: Column) -> Column:
 
 
 def token_levels(sets: DataFrame) -> Column:
-    """A binary value: for each bucket of tokens a byte that rises with the logarithm of its count over all lines. It is a scalar
+    """An array: for each bucket of tokens a number that rises with the logarithm of its count over all lines. It is a scalar
     subquery, as the plan's text, of which the driver keeps many copies, would spell out a literal."""
     each = sets.select(F.explode("tokens").alias("x")).select(F.col("x").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket"))
     level = F.least(F.lit(_LEVELS - 1), F.floor(F.log2(F.count("*")))).cast("tinyint")
     counted = each.groupBy("bucket").agg(level.alias("level")).toArrow()  # one row a bucket at most, 5 bytes each
-    table = np.full(BUCKETS, ord("0"), np.uint8)
-    table[counted["bucket"].to_numpy()] += counted["level"].to_numpy().astype(np.uint8)
-    one = cut(sets.sparkSession.createDataFrame([(bytearray(table.tobytes()),)], "levels binary"))
+    table = np.zeros(BUCKETS, np.int8)
+    table[counted["bucket"].to_numpy()] = counted["level"].to_numpy()
+    rows = pa.table({"levels": pa.ListArray.from_arrays(pa.array([0, BUCKETS], pa.int32()), pa.array(table))})
+    one = cut(sets.sparkSession.createDataFrame(rows))
     del counted, table
     release()
     return one.scalar()
 
 
 def _level(levels: Column, token: Column) -> Column:
-    at = token.bitwiseAND(F.lit(BUCKETS - 1)) + 1
-    return F.ascii(F.substring(levels, at, F.lit(1)).cast("string"))
+    return F.get(levels, token.bitwiseAND(F.lit(BUCKETS - 1)))
 
 
 def _need(n: str, share: float) -> str:
