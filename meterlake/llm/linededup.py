@@ -9,7 +9,11 @@ which bounds the overlap from above, thin them out; the rest is verified on the
 line at least as similar as t stands before it, by document id and line number.
 
 Lines of equal word sets are one class from the start, so copies are never paired, and classes are numbered in the order
-of their first lines. All links between different classes are counted. If only what goes is asked for (``links=False``), a large
+of their first lines. All links between different classes are counted, those within a large group without making pairs: in
+lists of a rare token of ``core_list`` or more, the classes near the earliest one are a group with a core, the words that most of
+them have, and two classes whose differences from it add up to few enough are similar, whatever these are; how many differ by
+how much decides how many such links a class has. The join makes all other pairs, those that only common differences
+make similar among them. If only what goes is asked for (``links=False``), a large
 group of similar lines costs in proportion to its size: in every list of a prefix token of ``long_list`` or more, each class is first compared with the earliest one, and what that removes needs no other match. A
 class's candidates are verified earliest first, the others only if that fails.
 
@@ -110,11 +114,19 @@ def _numbered_classes(sets: DataFrame, t: float) -> DataFrame:
     return cut(classes.repartitionByRange("place").sortWithinPartitions("place").withColumn("c", F.monotonically_increasing_id()))
 
 
-def _sets_of(pairs: DataFrame, classes: DataFrame, lines: DataFrame, small: int) -> DataFrame:
-    """(c, s): the whole word sets of the pairs' classes."""
-    wanted = pairs.select(F.col("x").alias("c")).union(pairs.select("y")).distinct()
+def _few(df: DataFrame, most: int) -> DataFrame:
+    """The frame, read from files, to be broadcast if it has ``most`` rows or less."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("x").alias("c")).union(pairs.select("y")).distinct()
+
+
+def _sets_of(wanted: DataFrame, classes: DataFrame, lines: DataFrame, small: int) -> DataFrame:
+    """(c, s): the whole word sets of the wanted classes (c)."""
     where = cut(wanted.join(classes, "c").select("c", F.col("place.row").alias("_row"), F.col("place.line").alias("line_no")))
-    found = lines.join(F.broadcast(where) if where.count() <= small else where, ["_row", "line_no"])
+    found = lines.join(_few(where, small), ["_row", "line_no"])
     return cut(found.select("c", word_set(F.col("line")).alias("s")))
 
 
@@ -129,19 +141,59 @@ def _similar(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
 def _verified(pairs: DataFrame, classes: DataFrame, lines: DataFrame, t: float, small: int) -> DataFrame:
     """For each x of the pairs (x, y) that is similar to a y: (x, match), where match is the earliest y if that is similar,
     else the earliest similar one of the others. Places of up to ``small`` classes (three numbers each) are broadcast."""
-    sets = _sets_of(pairs, classes, lines, small)
+    sets = _sets_of(_ends(pairs), classes, lines, small)
     similar = lambda some: cut(_similar(some, sets, t).groupBy("x").agg(F.min("y").alias("match")))
     first = similar(pairs.groupBy("x").agg(F.min("y").alias("y")))
     others = pairs.join(first, "x", "left_anti")
     return first.union(similar(others))
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, lines: DataFrame, t: float, small: int) -> DataFrame:
-    """(x, match, links) of all classes that are similar to another one: how many, and the earliest if that is earlier than x."""
-    sets = _sets_of(pairs, classes, lines, small)
-    alike = cut(_similar(pairs, sets, t))
-    each = alike.union(alike.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    return cut(each.groupBy("x").agg(F.min(F.when(F.col("y") < F.col("x"), F.col("y"))).alias("match"), F.count("*").alias("links")))
+def _groups(posting: DataFrame, classes: DataFrame, lines: DataFrame, t: float, small: int, core_list: int) -> DataFrame | None:
+    """(c, lead, n, d) of classes in long lists of a token that are near the earliest class ``lead`` of such a list: d is in how
+    many words a class differs from the core of its group, the words that over half of the group have."""
+    lists = posting.filter("at < 3").groupBy("token").agg(F.count("*").alias("k"), F.min(F.struct("c", "n", "bits")).alias("y")).filter(F.col("k") >= core_list)
+    heads = cut(lists.select("token", F.col("y.c").alias("lead"), F.col("y.n").alias("y_n"), F.col("y.bits").alias("y_bits")))
+    if heads.isEmpty():
+        return None
+    near = posting.drop("at").withColumnsRenamed({"n": "x_n", "bits": "x_bits"}).join(_few(heads, small), "token").filter(F.expr(_may_match(t)))
+    members = cut(near.groupBy("c").agg(F.min("lead").alias("lead")))
+    for _ in range(2):  # a group whose earliest class is in another one is a part of that
+        up = members.withColumnsRenamed({"lead": "up", "c": "lead"}).filter("up < lead").join(members.select("lead").distinct(), "lead", "left_semi")
+        members = cut(members.join(_few(cut(up), small), "lead", "left").select("c", F.coalesce("up", "lead").alias("lead")))
+    sets = cut(_sets_of(members.select("c"), classes, lines, small).join(_few(members, small), "c"))
+    half = sets.groupBy("lead").agg((F.count("*") / 2).alias("half"))
+    words = sets.select("lead", F.explode("s").alias("w")).groupBy("lead", "w").agg(F.count("*").alias("k"))
+    core = cut(words.join(half, "lead").filter("k > half").groupBy("lead").agg(F.collect_list("w").alias("core")))
+    both = F.size(F.array_intersect("s", F.coalesce("core", F.array().cast("array<bigint>"))))
+    n, n_core = F.size("s"), F.coalesce(F.size("core"), F.lit(0))
+    return cut(sets.join(_few(core, small // 100), "lead", "left").select("c", "lead", n.alias("n"), (n + n_core - 2 * both).alias("d")))
+
+
+def _surely(x: str, y: str, t: float) -> str:
+    """Of a group: whether two classes are similar because of how much they differ from the core; if not, they may be yet."""
+    need = _overlap(t).replace("x_n", f"{x}n").replace("y_n", f"{y}n")
+    return f"({x}n + {y}n - {x}d - {y}d >= 2 * {need})"
+
+
+def _sure_links(groups: DataFrame, t: float, small: int) -> DataFrame:
+    """(x, y, links): how many others of its group a class is surely similar to, and the earliest one."""
+    kinds = groups.groupBy("lead", "n", "d").agg(F.count("*").alias("k"), F.min("c").alias("c"))
+    every = kinds.groupBy("lead").agg(F.collect_list(F.struct("n", "d", "k", "c")).alias("kinds"))
+    test = _surely("x.", "y.", t)
+    links = f"aggregate(kinds, 0L, (a, y) -> a + IF({test}, y.k, 0L)) - IF({_surely('x.', 'x.', t)}, 1L, 0L)"
+    each = f"transform(kinds, x -> struct(x.n, x.d, {links} AS links, array_min(transform(filter(kinds, y -> {test}), y -> y.c)) AS y))"
+    sure = cut(every.select("lead", F.expr(f"inline({each})")).filter("links > 0"))
+    return groups.join(_few(sure, small), ["lead", "n", "d"]).select(F.col("c").alias("x"), "y", "links")
+
+
+def _linked(pairs: DataFrame, sure: DataFrame | None, classes: DataFrame, lines: DataFrame, t: float, small: int) -> DataFrame:
+    """(x, match, links) of all classes that are similar to another one: how many, and the earliest if that is earlier than x.
+    ``sure`` are those that are no pairs."""
+    sets = _sets_of(_ends(pairs), classes, lines, small)
+    alike = cut(_similar(pairs, sets, t)).withColumn("links", F.lit(1).cast("bigint"))
+    each = alike.union(alike.select(F.col("y").alias("x"), F.col("x").alias("y"), "links"))
+    each = each if sure is None else each.union(sure)
+    return cut(each.groupBy("x").agg(F.min(F.when(F.col("y") < F.col("x"), F.col("y"))).alias("match"), F.sum("links").alias("links")))
 
 
 def _led(posting: DataFrame, classes: DataFrame, lines: DataFrame, t: float, small: int, long_list: int, rounds: int) -> DataFrame | None:
@@ -168,12 +220,12 @@ def _led(posting: DataFrame, classes: DataFrame, lines: DataFrame, t: float, sma
 
 def similar_lines(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, small: int = 1_000_000,
-    long_list: int = 128, rounds: int = 1, links: bool = True,
+    long_list: int = 128, rounds: int = 1, links: bool = True, core_list: int = 32,
 ) -> DataFrame:
     """One row a line with words: (id, _row, line_no, class_id, match_id, removed), and n_links if ``links``.
 
     ``class_id`` names the line's word set; ``match_id`` is that of an earlier similar set, if there is one: the line's
-    representative pair, the earliest one if ``links``. ``n_links`` is how many other sets are similar, all pairs of a large group
+    representative pair, the earliest one if ``links``. ``n_links`` is how many other sets are similar, all of a large group
     of similar lines among them; without it a group costs in proportion to its size. ``removed`` lines are copies of an earlier line or have such a match. ``_row`` is the document's
     place in the input; an input that isn't read plainly from files is written first.
     """
@@ -187,28 +239,35 @@ def similar_lines(
     remove(docs.sparkSession, place)
 
     def postings(some: DataFrame) -> DataFrame:
-        """(token, c, bits, meta): meta has n, the token's position, whether the class is still open and whether the token is in
-        the shorter prefix."""
-        every = some.select("c", "n", "bits", "open", F.posexplode("prefix").alias("at", "token"))
+        """(token, c, bits, meta) and the columns of groups: meta has n, the token's position, whether the class is still open and
+        whether the token is in the shorter prefix."""
+        group = [c for c in ("lead", "d") if c in some.columns]
+        every = some.select("c", "n", "bits", "open", *group, F.posexplode("prefix").alias("at", "token"))
         fewer = F.expr(f"IF(at < {_need('n', 2 * t / (1 + t))}, 1L, 0L) + IF(open, 2L, 0L)")
-        return every.select("token", "c", "bits", (F.shiftleft(F.col("n").cast("bigint"), 32) + F.shiftleft(F.col("at").cast("bigint"), 2) + fewer).alias("meta"))
+        return every.select("token", "c", "bits", *group, (F.shiftleft(F.col("n").cast("bigint"), 32) + F.shiftleft(F.col("at").cast("bigint"), 2) + fewer).alias("meta"))
 
-    # A quarter of the tokens is enough to find large groups; one missed is left to the main join.
+    # A quarter of the tokens is enough to find large groups, and so are the lists of the rarest three; one missed is left to
+    # the main join.
     some = None if links else postings(classes.withColumn("open", F.lit(True))).filter("meta & 1 = 1 AND token & 3 = 0").select("token", "c", F.shiftright("meta", 32).alias("n"), "bits")
     known = None if some is None else _led(some, classes, lines, t, small, long_list, rounds)
+    groups = _groups(classes.select("c", "n", "bits", F.posexplode("prefix").alias("at", "token")), classes, lines, t, small, core_list) if links else None
     settled = None if known is None else known.select(F.col("x").alias("c"), F.lit(True).alias("settled"))
     open_ = classes.withColumn("settled", F.lit(None).cast("boolean")) if settled is None else classes.join(settled, "c", "left")
     open_ = open_.withColumn("open", F.col("settled").isNull())
+    open_ = open_ if groups is None else open_.join(_few(groups.select("c", "lead", "d"), small), "c", "left")
     # The larger set of a pair by its whole prefix, the smaller by its short one; x is the later of the two.
     late = "IF(x_c > y_c, x_meta, y_meta) & 2 = 2"
     test = f"x_c <> y_c AND x_n >= y_n AND {late} AND {_may_match(t)} AND least(x_n - x_at, y_n - y_at) >= {_overlap(t)}"
+    if groups is not None:
+        test += f" AND NOT coalesce(x_lead = y_lead AND {_surely('x_', 'y_', t)}, false)"
     for k in "xy":
         test = test.replace(f"{k}_n", f"shiftright({k}_meta, 32)").replace(f"{k}_at", f"shiftright({k}_meta & 4294967295, 2)")
     every = postings(open_)
     pairs = _side(every, "x", "token").join(_side(every.filter("meta & 1 = 1"), "y", "token"), "token").filter(F.expr(test))
     pairs = pairs.select(F.greatest("x_c", "y_c").alias("x_c"), F.least("x_c", "y_c").alias("y_c"))
     pairs = cut(pairs.select(F.col("x_c").alias("x"), F.col("y_c").alias("y")).distinct())
-    matches = _linked(pairs, classes, lines, t, small) if links else _verified(pairs, classes, lines, t, small)
+    sure = None if groups is None else _sure_links(groups, t, small)
+    matches = _linked(pairs, sure, classes, lines, t, small) if links else _verified(pairs, classes, lines, t, small)
     matches = matches if known is None else matches.union(known)
     counts = ["links"] if links else []
     named = classes.select(F.col("c").alias("match"), F.col("set_id").alias("match_id"))

@@ -288,6 +288,31 @@ def test_no_link_between_different_lines_is_lost(spark):
         assert sorted((r.doc_id, r.line_no, r.removed) for r in got) == [(d, n, gone) for d, n, _, gone in brute]
 
 
+def test_links_within_a_large_group_are_counted_without_pairs(spark, monkeypatch):
+    rng, base, other = random.Random(9), [f"w{k}" for k in range(30)], [f"v{k}" for k in range(12)]
+    rows = []
+    for k in range(300):
+        line = [w for w in base if rng.random() > 0.02]
+        line.insert(rng.randrange(len(line)), f"own{k}")
+        near = [f"far{k}" if rng.random() < 0.06 else w for w in other]
+        rows.append((k, "\n".join([" ".join(line), " ".join(near)]), "en", "s", 1))
+    df, brute, similar, made = spark.createDataFrame(rows, SCHEMA), sorted(brute_lines(rows)), linededup._similar, []
+    monkeypatch.setattr(linededup, "_similar", lambda pairs, *more: made.append(pairs.count()) or similar(pairs, *more))
+    text = {(k, n): frozenset(line.split()) for k, t, *_ in rows for n, line in enumerate(t.split("\n"))}
+    for kind in ({}, {"core_list": 2}, {"core_list": 5, "small": 0}, {"core_list": 1000}):
+        got = linededup.similar_lines(df, **kind).collect()
+        assert sorted((r.doc_id, r.line_no, r.n_links, r.removed) for r in got) == brute
+        sets = {r.class_id: text[r.doc_id, r.line_no] for r in got}
+        first = {}
+        for at in sorted(text):
+            first.setdefault(text[at], at)
+        for r in got[::17]:  # the representative is the earliest similar set before it
+            x = text[r.doc_id, r.line_no]
+            before = [at for s, at in first.items() if at < first[x] and len(s & x) >= 0.8 * len(s | x) - 1e-9]
+            assert (first[sets[r.match_id]] if r.match_id is not None else None) == min(before, default=None)
+    assert made[0] < made[-1] / 3 and made[-1] > 30_000
+
+
 def test_line_dedup_of_odd_rows(odd, odd_rows, empty):
     kept = linededup.dedup_lines(odd)
     assert kept.columns == odd.columns
