@@ -165,7 +165,8 @@ def backoff_scores(
     each = dealt.select("*", F.explode_outer(F.arrays_zip("at", "a", F.coalesce("b", "a").alias("b"))).alias("g")).select(
         (F.col("_row") + F.coalesce("g.at", F.lit(0))).alias("_row"), "_id", "n_tokens", "n_backoff", "score", "bucket", "kind", F.col("g.a").alias("a"), F.col("g.b").alias("b")
     )
-    counted = each.withColumn("c", F.count("*").over(Window.partitionBy("bucket", "kind", "a", "b")))
+    # Sorted by what tells most apart first: rows are compared by the leading column's bits, in full only where these are equal.
+    counted = each.withColumn("c", F.count("*").over(Window.partitionBy("a", "b", "kind", "bucket")))
     table = spark.createDataFrame(pa.table({"w": np.arange(len(words)), "ln": logs}))
     one, two = (F.broadcast(table.select(F.col("w").alias(a), F.col("ln").alias(f"ln_{a}"))) for a in ("u", "v"))  # the lexicon
     repeated = F.col("c") >= min_count

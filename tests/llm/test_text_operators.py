@@ -348,3 +348,11 @@ def test_scores_equal_brute_force(odd, odd_rows, lexicon, head):
 
 def test_scores_of_nothing(empty):
     assert lmscore.backoff_scores(empty).count() == 0
+
+
+def test_lm_score_occurrences_are_sorted_by_what_tells_them_apart(spark, odd, monkeypatch):
+    plans, cut = [], lmscore.cut
+    monkeypatch.setattr(lmscore, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    lmscore.backoff_scores(odd)
+    windows = [re.search(r"\[a#\d+L?, b#\d+L?, kind#\d+, bucket#\d+\]", line) for p in plans for line in p.split("\n") if re.search(r"\bWindow\b", line)]
+    assert windows and all(windows)
