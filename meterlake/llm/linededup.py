@@ -38,6 +38,8 @@ from .common import cut, cut_to, free_name, numbered, release, remove, stable
 #: Tokens are counted in so many buckets of their hashes; the table of their levels, a byte each, is sent with the plan.
 BUCKETS = 1 << 20
 _LEVELS = 32
+#: Sets of so many words have a bitmap of 128 bits, as 64 are about half full for any of them.
+_LONG = 80
 
 
 def _words(text: Column) -> Column:
@@ -81,6 +83,12 @@ def _may_match(t: float) -> str:
     return f"least(x_n, y_n) >= {t} * greatest(x_n, y_n) - 1e-9 AND x_n + y_n - bit_count(x_bits ^ y_bits) >= 2 * {_overlap(t)}"
 
 
+def _long_may_match(t: float) -> str:
+    """The same of two long sets by both halves of their bitmaps."""
+    halves = "bit_count(x_more ^ y_more) + bit_count(x_bits ^ y_bits ^ x_more ^ y_more)"
+    return f"(least(x_n, y_n) < {_LONG} OR x_n + y_n - ({halves}) >= 2 * {_overlap(t)})"
+
+
 def _overlap(t: float) -> str:
     return f"ceil({t / (1 + t)} * (x_n + y_n) - 1e-9)"
 
@@ -102,15 +110,17 @@ def _numbered_classes(sets: DataFrame, t: float) -> DataFrame:
     """One row a word set: ``c`` rises with the place of its first line; prefix and bitmap of those that can match another."""
     levels = token_levels(sets)
     place = F.struct(F.col("_id").isNull().alias("last"), F.col("_id").alias("id"), F.col("_row").alias("row"), F.col("line_no").alias("line"))
-    # A lambda may not hold a subquery before the plan is optimized; the column is put into its place then.
+    # A lambda may not hold a subquery before the plan is optimized; the column is put into its place then. An array that can't have
+    # nulls is sorted as numbers.
     sets = sets.withColumn("levels", levels)
-    ranked = F.transform("tokens", lambda x: x.cast("bigint") + F.shiftleft(_level(F.col("levels"), x).cast("bigint"), 32))
+    ranked = F.transform("tokens", lambda x: F.coalesce(x + F.shiftleft(_level(F.col("levels"), x).cast("bigint"), 32), F.lit(0)))
     rarest = F.transform(F.slice(F.sort_array(ranked), F.lit(1), F.expr(_need("n", t))), lambda x: (x.bitwiseAND(F.lit(0xFFFFFFFF)) - (1 << 31)).cast("int"))
     alone = F.lit(t >= 1) | (F.col("n") < t / max(1 - t, 1e-9) - 1e-9)  # sets this small are similar to none but themselves
     prefix = F.when(alone, F.array().cast("array<int>")).otherwise(rarest)
-    bits = F.expr("aggregate(tokens, 0L, (a, x) -> a ^ shiftleft(1L, x & 63))")
-    each = sets.select("set_id", place.alias("place"), "n", prefix.alias("prefix"), bits.alias("bits"))
-    classes = each.groupBy("set_id").agg(F.min("place").alias("place"), *(F.first(c).alias(c) for c in ("n", "prefix", "bits")))
+    bits = F.expr("aggregate(tokens, 0L, (a, x) -> a ^ shiftleft(1L, x))")
+    more = F.expr(f"IF(n < {_LONG}, 0L, aggregate(tokens, 0L, (a, x) -> IF(x & 64 = 0, a, a ^ shiftleft(1L, x))))")
+    each = sets.select("set_id", place.alias("place"), "n", prefix.alias("prefix"), bits.alias("bits"), more.alias("more"))
+    classes = each.groupBy("set_id").agg(F.min("place").alias("place"), *(F.first(c).alias(c) for c in ("n", "prefix", "bits", "more")))
     return cut(classes.repartitionByRange("place").sortWithinPartitions("place").withColumn("c", F.monotonically_increasing_id()))
 
 
@@ -148,14 +158,16 @@ def _verified(pairs: DataFrame, classes: DataFrame, lines: DataFrame, t: float,
     return first.union(similar(others))
 
 
-def _groups(posting: DataFrame, classes: DataFrame, lines: DataFrame, t: float, small: int, core_list: int) -> DataFrame | None:
-    """(c, lead, n, d) of classes in long lists of a token that are near the earliest class ``lead`` of such a list: d is in how
-    many words a class differs from the core of its group, the words that over half of the group have."""
-    lists = posting.filter("at < 3").groupBy("token").agg(F.count("*").alias("k"), F.min(F.struct("c", "n", "bits")).alias("y")).filter(F.col("k") >= core_list)
-    heads = cut(lists.select("token", F.col("y.c").alias("lead"), F.col("y.n").alias("y_n"), F.col("y.bits").alias("y_bits")))
-    if heads.isEmpty():
+def _groups(classes: DataFrame, lines: DataFrame, t: float, small: int, core_list: int) -> DataFrame | None:
+    """(c, lead, n, d, diff) of classes in long lists of a token that are near the earliest class ``lead`` of such a list: diff are the
+    d words in which a class differs from the core of its group, the words that over half of the group have."""
+    rarest = classes.select("c", F.explode(F.slice("prefix", 1, 3)).alias("token"))
+    lists = cut(rarest.groupBy("token").agg(F.count("*").alias("k"), F.min("c").alias("c")).filter(F.col("k") >= core_list).drop("k"))
+    if lists.isEmpty():
         return None
-    near = posting.drop("at").withColumnsRenamed({"n": "x_n", "bits": "x_bits"}).join(_few(heads, small), "token").filter(F.expr(_may_match(t)))
+    heads = cut(classes.select("c", F.col("n").alias("y_n"), F.col("bits").alias("y_bits")).join(_few(lists, small), "c").withColumnRenamed("c", "lead"))
+    posting = classes.select("c", F.col("n").alias("x_n"), F.col("bits").alias("x_bits"), F.explode("prefix").alias("token"))
+    near = posting.join(_few(heads, small), "token").filter(F.expr(_may_match(t)))
     members = cut(near.groupBy("c").agg(F.min("lead").alias("lead")))
     for _ in range(2):  # a group whose earliest class is in another one is a part of that
         up = members.withColumnsRenamed({"lead": "up", "c": "lead"}).filter("up < lead").join(members.select("lead").distinct(), "lead", "left_semi")
@@ -164,9 +176,10 @@ def _groups(posting: DataFrame, classes: DataFrame, lines: DataFrame, t: float,
     half = sets.groupBy("lead").agg((F.count("*") / 2).alias("half"))
     words = sets.select("lead", F.explode("s").alias("w")).groupBy("lead", "w").agg(F.count("*").alias("k"))
     core = cut(words.join(half, "lead").filter("k > half").groupBy("lead").agg(F.collect_list("w").alias("core")))
-    both = F.size(F.array_intersect("s", F.coalesce("core", F.array().cast("array<bigint>"))))
-    n, n_core = F.size("s"), F.coalesce(F.size("core"), F.lit(0))
-    return cut(sets.join(_few(core, small // 100), "lead", "left").select("c", "lead", n.alias("n"), (n + n_core - 2 * both).alias("d")))
+    words = F.coalesce("core", F.array().cast("array<bigint>"))
+    diff = F.concat(F.array_except("s", words), F.array_except(words, "s"))
+    each = sets.join(_few(core, small // 100), "lead", "left").select("c", "lead", F.size("s").alias("n"), diff.alias("diff"))
+    return cut(each.withColumn("d", F.size("diff")))
 
 
 def _surely(x: str, y: str, t: float) -> str:
@@ -175,6 +188,11 @@ def _surely(x: str, y: str, t: float) -> str:
     return f"({x}n + {y}n - {x}d - {y}d >= 2 * {need})"
 
 
+def _by_words(t: float) -> str:
+    """Of two classes of a group that are not surely similar: whether they are, as they share so many differences from the core."""
+    return f"(x_n + y_n - x_g.d - y_g.d + 2 * size(array_intersect(x_g.diff, y_g.diff)) >= 2 * {_overlap(t)})"
+
+
 def _sure_links(groups: DataFrame, t: float, small: int) -> DataFrame:
     """(x, y, links): how many others of its group a class is surely similar to, and the earliest one."""
     kinds = groups.groupBy("lead", "n", "d").agg(F.count("*").alias("k"), F.min("c").alias("c"))
@@ -239,27 +257,28 @@ def similar_lines(
     remove(docs.sparkSession, place)
 
     def postings(some: DataFrame) -> DataFrame:
-        """(token, c, bits, meta) and the columns of groups: meta has n, the token's position, whether the class is still open and
+        """(token, c, bits, more, meta) and the group ``g``: meta has n, the token's position, whether the class is still open and
         whether the token is in the shorter prefix."""
-        group = [c for c in ("lead", "d") if c in some.columns]
-        every = some.select("c", "n", "bits", "open", *group, F.posexplode("prefix").alias("at", "token"))
+        group = [c for c in ("g",) if c in some.columns]
+        every = some.select("c", "n", "bits", "more", "open", *group, F.posexplode("prefix").alias("at", "token"))
         fewer = F.expr(f"IF(at < {_need('n', 2 * t / (1 + t))}, 1L, 0L) + IF(open, 2L, 0L)")
-        return every.select("token", "c", "bits", *group, (F.shiftleft(F.col("n").cast("bigint"), 32) + F.shiftleft(F.col("at").cast("bigint"), 2) + fewer).alias("meta"))
+        return every.select("token", "c", "bits", "more", *group, (F.shiftleft(F.col("n").cast("bigint"), 32) + F.shiftleft(F.col("at").cast("bigint"), 2) + fewer).alias("meta"))
 
     # A quarter of the tokens is enough to find large groups, and so are the lists of the rarest three; one missed is left to
     # the main join.
     some = None if links else postings(classes.withColumn("open", F.lit(True))).filter("meta & 1 = 1 AND token & 3 = 0").select("token", "c", F.shiftright("meta", 32).alias("n"), "bits")
     known = None if some is None else _led(some, classes, lines, t, small, long_list, rounds)
-    groups = _groups(classes.select("c", "n", "bits", F.posexplode("prefix").alias("at", "token")), classes, lines, t, small, core_list) if links else None
+    groups = _groups(classes, lines, t, small, core_list) if links else None
     settled = None if known is None else known.select(F.col("x").alias("c"), F.lit(True).alias("settled"))
     open_ = classes.withColumn("settled", F.lit(None).cast("boolean")) if settled is None else classes.join(settled, "c", "left")
     open_ = open_.withColumn("open", F.col("settled").isNull())
-    open_ = open_ if groups is None else open_.join(_few(groups.select("c", "lead", "d"), small), "c", "left")
+    open_ = open_ if groups is None else open_.join(_few(groups.select("c", F.struct("lead", "d", "diff").alias("g")), small // 8), "c", "left")
     # The larger set of a pair by its whole prefix, the smaller by its short one; x is the later of the two.
     late = "IF(x_c > y_c, x_meta, y_meta) & 2 = 2"
-    test = f"x_c <> y_c AND x_n >= y_n AND {late} AND {_may_match(t)} AND least(x_n - x_at, y_n - y_at) >= {_overlap(t)}"
+    test = f"x_c <> y_c AND x_n >= y_n AND {late} AND {_may_match(t)} AND least(x_n - x_at, y_n - y_at) >= {_overlap(t)} AND {_long_may_match(t)}"
     if groups is not None:
-        test += f" AND NOT coalesce(x_lead = y_lead AND {_surely('x_', 'y_', t)}, false)"
+        sure = _surely("x_", "y_", t).replace("_d", "_g.d")
+        test += f" AND IF(coalesce(x_g.lead = y_g.lead, false), NOT {sure} AND {_by_words(t)}, true)"
     for k in "xy":
         test = test.replace(f"{k}_n", f"shiftright({k}_meta, 32)").replace(f"{k}_at", f"shiftright({k}_meta & 4294967295, 2)")
     every = postings(open_)

@@ -313,6 +313,25 @@ def test_links_within_a_large_group_are_counted_without_pairs(spark, monkeypatch
     assert made[0] < made[-1] / 3 and made[-1] > 30_000
 
 
+def test_few_pairs_that_are_not_similar_are_joined_with_word_sets(spark, monkeypatch):
+    rng, base, pool = random.Random(11), [f"w{k}" for k in range(45)], [f"v{k}" for k in range(8)]
+    rows = []
+    for k in range(300):
+        group = list(base)
+        for at in rng.sample(range(12), 4):
+            group[at] = rng.choice(pool)
+        alone = [f"u{k}x{n}" for n in range(150)]
+        for at in range(20):
+            alone[at] = f"some{rng.randrange(400)}"
+        rows.append((k, "\n".join([" ".join(group), " ".join(alone)]), "en", "s", 1))
+    df, brute, similar, made = spark.createDataFrame(rows, SCHEMA), sorted(brute_lines(rows)), linededup._similar, []
+    monkeypatch.setattr(linededup, "_similar", lambda pairs, *more: made.append((pairs.count(), similar(pairs, *more).count())) or similar(pairs, *more))
+    got = linededup.similar_lines(df, core_list=8).collect()
+    assert sorted((r.doc_id, r.line_no, r.n_links, r.removed) for r in got) == brute
+    assert sum(n for _, _, n, _ in brute) > 5_000
+    assert made[0][0] <= 1.3 * made[0][1] + 100, made
+
+
 def test_line_dedup_of_odd_rows(odd, odd_rows, empty):
     kept = linededup.dedup_lines(odd)
     assert kept.columns == odd.columns
