@@ -13,7 +13,7 @@ of their first lines. All links between different classes are counted, those wit
 lists of a rare token of ``core_list`` or more, the classes near the earliest one are a group with a core, the words that most of
 them have, and two classes whose differences from it add up to few enough are similar, whatever these are; how many differ by
 how much decides how many such links a class has. The join makes all other pairs, those that only common differences
-make similar among them. If only what goes is asked for (``links=False``), a large
+make similar among them: within a group it compares the differences themselves, and near misses are no candidates. If only what goes is asked for (``links=False``), a large
 group of similar lines costs in proportion to its size: in every list of a prefix token of ``long_list`` or more, each class is first compared with the earliest one, and what that removes needs no other match. A
 class's candidates are verified earliest first, the others only if that fails.
 
